@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvale.llm import packing
+from corvale.llm import packing, sharding, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=2048, end_id=1)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40, row_bytes=16)
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.store_round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_packing": op2_packing}
+    return {f.__name__: f for f in (op2_packing, op5_sharding, op7_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
