@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvale.llm import langid, packing, sharding, store
+from corvale.llm import audio, langid, packing, sharding, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,12 +33,16 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
 
+def op9_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.describe(audio.store(table(spark, sf_dir, "documents")))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_sharding, op7_token_store, op10_language_id)}
+    return {f.__name__: f for f in (op2_packing, op5_sharding, op7_token_store, op9_audio_columns, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
