@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -33,7 +33,7 @@ class WordEncoder:
     cache is cleared at ``most`` parts, which bounds a worker's memory.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,39 +43,59 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
+        #: part -> its number; a part is one entry of the pool or two (a stem, then punctuation)
         self.index: dict[bytes, int] = {}
-        self.bits: dict[bytes, list[int]] = {}
+        self.first, self.second = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
-    def _ids(self, bits: list[bytes]) -> None:
-        """Put the ids of parts that lack them into self.bits."""
-        hard = []
-        for x in bits:
-            if _LETTERS.match(x):  # one pre-token: the model alone gives its ids
-                self.bits[x] = [t.id for t in self.tokenizer.model.tokenize(x.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))]
-            else:
-                hard.append(x)
-        for lo in range(0, len(hard), 20_000):
-            block = hard[lo : lo + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([x.decode() for x in block], add_special_tokens=False)
-            self.bits.update(zip(block, (e.ids for e in encoded), strict=True))
+    def _room(self, n: int, ids: int) -> None:
+        while n > len(self.lens):
+            for name in ("first", "second", "starts", "lens"):
+                setattr(self, name, np.r_[getattr(self, name), np.zeros(len(getattr(self, name)), np.int64)])
+        while self.used + ids > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
 
-    def _add(self, parts: list[bytes]) -> None:
-        cut = [m.groups() if (m := _STEM.match(p)) else (p,) for p in parts]
-        self._ids([x for x in dict.fromkeys(x for own in cut for x in own) if x not in self.bits])
-        ids = [self.bits[c[0]] if len(c) == 1 else self.bits[c[0]] + self.bits[c[1]] for c in cut]
+    def _single(self, parts: list[bytes]) -> None:
+        """Give each part an entry with its own ids."""
+        easy = [p for p in parts if _LETTERS.match(p)]  # one pre-token each: the model alone gives the ids
+        model = self.tokenizer.model.tokenize
+        ids = [[t.id for t in model(p.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))] for p in easy]
+        if len(easy) < len(parts):
+            hard = list(set(parts).difference(easy))
+            for lo in range(0, len(hard), 20_000):
+                encoded = self.tokenizer.encode_batch_fast([x.decode() for x in hard[lo : lo + 20_000]], add_special_tokens=False)
+                ids += [e.ids for e in encoded]
+            easy += hard
         n, lens = len(self.index), np.fromiter(map(len, ids), np.int64, len(ids))
-        while n + len(ids) > len(self.lens):
-            self.starts, self.lens = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.lens, np.zeros_like(self.lens)]
-        total = int(lens.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-        self.pool[self.used : self.used + total] = [x for own in ids for x in own]
-        self.lens[n : n + len(ids)] = lens
-        self.starts[n : n + len(ids)] = self.used + np.cumsum(lens) - lens
+        total, upto = int(lens.sum()), np.cumsum(lens)
+        self._room(n + len(ids), total)
+        self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        own = slice(n, n + len(ids))
+        self.lens[own], self.starts[own] = lens, self.used + upto - lens
+        self.first[own], self.second[own] = np.arange(n, n + len(ids)), -1
         self.used += total
-        self.index.update(zip(parts, range(n, n + len(ids)), strict=True))
+        self.index.update(zip(easy, range(n, n + len(ids)), strict=True))
+
+    def _add(self, parts: list[bytes]) -> None:
+        """Number the distinct parts, none of which is known."""
+        single, joined = [], []
+        for p in parts:
+            m = _STEM.match(p)
+            if m:
+                joined.append((p, m[1], m[2]))
+            else:
+                single.append(p)
+        known = self.index
+        single += [x for j in joined for x in j[1:] if x not in known]
+        self._single(list(dict.fromkeys(single)))
+        if joined:
+            n = len(known)
+            self._room(n + len(joined), 0)
+            own = slice(n, n + len(joined))
+            self.first[own] = [known[j[1]] for j in joined]
+            self.second[own] = [known[j[2]] for j in joined]
+            known.update(zip((j[0] for j in joined), range(n, n + len(joined)), strict=True))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, ``end_id`` after each text, and how many each text has."""
@@ -85,13 +105,15 @@ class WordEncoder:
             counts.append(len(own) + 1)
             words += own
             words.append(b"")
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.index) > self.most:
             self.clear()
-        if b"" not in self.index:
-            self._add([b""])
-            self.pool = np.r_[self.pool[: self.used], np.uint32(end_id), np.zeros(4096, np.uint32)]
-            at = self.index[b""]
-            self.starts[at], self.lens[at] = self.used, 1
+        if b"" not in self.index:  # stands for the end of a text
+            self._room(len(self.index) + 1, 1)
+            at = self.index[b""] = len(self.index)
+            self.starts[at], self.lens[at], self.first[at], self.second[at] = self.used, 1, at, -1
+            self.pool[self.used] = end_id
             self.used += 1
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         lost = np.flatnonzero(at < 0)
@@ -99,11 +121,15 @@ class WordEncoder:
             new = [words[i] for i in lost.tolist()]
             self._add(list(dict.fromkeys(new)))
             at[lost] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        lens = self.lens[at]
+        two = self.second[at]
+        entries = np.stack([self.first[at], two], 1).ravel()
+        entries = entries[entries >= 0]
+        lens = self.lens[entries]
         upto = np.cumsum(lens)
-        ids = self.pool[np.repeat(self.starts[at] - (upto - lens), lens) + np.arange(upto[-1] if len(upto) else 0)]
-        last = np.cumsum(counts) - 1
-        return ids, np.diff(np.r_[0, upto[last]]) if len(counts) else np.zeros(0, np.int64)
+        ids = self.pool[np.repeat(self.starts[entries] - (upto - lens), lens) + np.arange(upto[-1])]
+        last = np.cumsum(np.asarray(counts)) - 1  # the end of each text, as a number of words
+        ends = last + np.cumsum(two >= 0)[last]
+        return ids, np.diff(np.r_[0, upto[ends]])
 
 
 def encoder(path: str) -> WordEncoder:
