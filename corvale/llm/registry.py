@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvale.llm import audio, langid, packing, sharding, store
+from corvale.llm import audio, langid, lattice, packing, sharding, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40, row_bytes=16)
 
 
+def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), folds=7, fold=2)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
@@ -42,7 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_sharding, op7_token_store, op9_audio_columns, op10_language_id)}
+    return {f.__name__: f for f in (op2_packing, op5_sharding, op6_lattice_likelihood, op7_token_store, op9_audio_columns, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
