@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,22 @@ BATCH_ROWS = 512
 BROADCAST_BYTES = 48 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once in an application: they may lack them."""
+    context = spark.sparkContext
+    if getattr(context, "_corvale_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    name = os.path.join(tempfile.mkdtemp(prefix="corvale-"), f"corvale-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(name)
+    context._corvale_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvale.llm import audio, langid, lattice, packing, sharding, store
+from corvale.llm import audio, langid, lattice, packing, sharding, store, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"), length=50)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=2048, end_id=1)
 
@@ -46,7 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op5_sharding, op6_lattice_likelihood, op7_token_store, op9_audio_columns, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op5_sharding, op6_lattice_likelihood, op7_token_store, op9_audio_columns, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
