@@ -21,21 +21,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import materialize, repeatable, small_batches, text_bytes
-from corvale.llm.tokens import encoder
+from corvale.llm.common import materialize, repeatable, small_batches
+from corvale.llm.tokens import encoder, gathered
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """One row per document: ids (unsigned 16-bit or, for larger vocabularies, 32-bit, little-endian), with place in its partition."""
+def id_batches(tokenizer: str, end_id: int):
+    """A function from batches of (doc_id, text) to batches of (doc_id, part, part_start, n_tokens, ids)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer)
         wide = own.tokenizer.get_vocab_size() > 1 << 16
-        for batch in batches:
-            ids, counts = own.encode(text_bytes(batch.column(1)), end_id)
+        for batch in gathered(batches):
+            ids, counts = own.encode(batch.column(1), end_id)
             raw, size = ids.astype("<u4" if wide else "<u2").tobytes(), 4 if wide else 2
             upto = np.cumsum(counts)
             cuts = [0, *(upto * size).tolist()]
@@ -43,11 +43,19 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 [batch.column(0), pa.array(np.full(len(counts), part)), pa.array(before + upto - counts), pa.array(counts), pa.array([raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())],
                 ["doc_id", "part", "part_start", "n_tokens", "ids"],
             )
-            before += int(upto[-1]) if len(upto) else 0
+            before += int(upto[-1])
+
+    return rows
+
 
+def id_texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    rows_in = repeatable(docs, "texts").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows_in.mapInArrow(rows, "doc_id long, part long, part_start long, n_tokens long, ids binary")
+    return repeatable(docs, "texts").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """One row per document: ids (unsigned 16-bit or, for larger vocabularies, 32-bit, little-endian), with place in its partition."""
+    return id_texts(docs).mapInArrow(id_batches(tokenizer, end_id), "doc_id long, part long, part_start long, n_tokens long, ids binary")
 
 
 def with_starts(rows: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.llm.common import checkpoint_dir, materialize, mix64, small_batches
-from corvale.llm.packing import encoded, with_starts
+from corvale.llm.common import checkpoint_dir, materialize, small_batches
+from corvale.llm.packing import id_batches, id_texts, with_starts
 
-#: A cut follows an id where the hash of the last WINDOW ids is 0 modulo MEAN; chunks have LEAST to MOST ids.
-WINDOW, MEAN, LEAST, MOST = 8, 256, 32, 4096
+#: A cut follows an id where the hash of the last WINDOW ids is below 1 / MEAN of its range; chunks have LEAST to MOST ids.
+WINDOW, MEAN, LEAST, MOST = 4, 512, 64, 4096
 DIGEST = 16
 CHUNKS, RECIPES = "digest binary, ids binary", "doc_id long, part long, part_start long, n_tokens long, digests binary, lengths binary"
 MANIFEST = "part long, n_docs long, n_tokens long, root binary"
@@ -41,10 +41,12 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
+    rolled = np.zeros(n - WINDOW + 1, np.uint32)
     for j in range(WINDOW):
-        rolled = rolled * np.uint64(0x100000001B3) + ids[j : n - WINDOW + 1 + j]
-    marks = np.flatnonzero(mix64(rolled) % np.uint64(MEAN) == 0) + WINDOW
+        rolled *= np.uint32(0x01000193)
+        rolled += ids[j : n - WINDOW + 1 + j]
+    rolled *= np.uint32(0x9E3779B1)
+    marks = np.flatnonzero(rolled < np.uint32((1 << 32) // MEAN)) + WINDOW
     ends, at = [], 0
     for m in [*marks.tolist(), n]:
         while m - at > MOST:
@@ -71,11 +73,11 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Encoded rows to rows with digests and lengths of their chunks."""
     for batch in batches:
-        doc_ids, counts, raws = (batch.column(i).to_pylist() for i in range(3))
+        doc_ids, counts, raws = (batch.column(name).to_pylist() for name in ("doc_id", "n_tokens", "ids"))
         digests, lengths = [], []
         for n, raw in zip(counts, raws, strict=True):
             size = len(raw) // n
-            ends = cut_points(np.frombuffer(raw, f"<u{size}").astype(np.uint64))
+            ends = cut_points(np.frombuffer(raw, f"<u{size}").astype(np.uint32))
             starts = [0, *ends[:-1]]
             digests.append(b"".join(_digest(raw[a * size : b * size]) for a, b in zip(starts, ends, strict=True)))
             lengths.append(np.diff([0, *ends]).astype("<u4").tobytes())
@@ -133,7 +135,8 @@ def _manifest(recipes: DataFrame) -> DataFrame:
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode ``docs`` (doc_id, text) and write the store's files under ``path``."""
     spark = docs.sparkSession
-    split = materialize(encoded(docs, tokenizer, end_id).select("doc_id", "n_tokens", "ids").mapInArrow(_split, "doc_id long, n_tokens long, ids binary, digests binary, lengths binary"), "split")
+    ids_of = id_batches(tokenizer, end_id)
+    split = materialize(id_texts(docs).mapInArrow(lambda batches: _split(ids_of(batches)), "doc_id long, n_tokens long, ids binary, digests binary, lengths binary"), "split")
     (
         split.select("n_tokens", "ids", "digests", "lengths").mapInArrow(_chunk_rows, CHUNKS)
         .groupBy("digest").agg(F.first("ids").alias("ids"))

@@ -6,6 +6,8 @@ import re
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -60,7 +62,7 @@ class WordEncoder:
         """Give each part an entry with its own ids."""
         easy = [p for p in parts if _LETTERS.match(p)]  # one pre-token each: the model alone gives the ids
         model = self.tokenizer.model.tokenize
-        ids = [[t.id for t in model(p.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))] for p in easy]
+        ids = [[t.id for t in model(p.decode() if p.isascii() else p.decode().lower().encode().decode("latin-1").translate(_BYTE_CHARS))] for p in easy]
         if len(easy) < len(parts):
             hard = list(set(parts).difference(easy))
             for lo in range(0, len(hard), 20_000):
@@ -97,39 +99,38 @@ class WordEncoder:
             self.second[own] = [known[j[2]] for j in joined]
             known.update(zip((j[0] for j in joined), range(n, n + len(joined)), strict=True))
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, ``end_id`` after each text, and how many each text has."""
-        words, counts = [], []
-        for t in texts:
-            own = t.lower().split()
-            counts.append(len(own) + 1)
-            words += own
-            words.append(b"")
-        if not words:
+    def encode(self, texts: pa.Array | list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, ``end_id`` after each text (null: empty), and how many each text has."""
+        column = pa.array([t.decode() for t in texts]) if isinstance(texts, list) else texts
+        if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+        upto_words = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.index) > self.most:
             self.clear()
-        if b"" not in self.index:  # stands for the end of a text
-            self._room(len(self.index) + 1, 1)
-            at = self.index[b""] = len(self.index)
-            self.starts[at], self.lens[at], self.first[at], self.second[at] = self.used, 1, at, -1
-            self.pool[self.used] = end_id
-            self.used += 1
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        lost = np.flatnonzero(at < 0)
+        number = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        lost = np.flatnonzero(number < 0)
         if len(lost):
             new = [words[i] for i in lost.tolist()]
-            self._add(list(dict.fromkeys(new)))
-            at[lost] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
-        two = self.second[at]
-        entries = np.stack([self.first[at], two], 1).ravel()
+            self._add(new)
+            number[lost] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        at = number[coded.indices.to_numpy()]
+        second = self.second[at]
+        entries = np.stack([self.first[at], second], 1).ravel()
         entries = entries[entries >= 0]
         lens = self.lens[entries]
         upto = np.cumsum(lens)
         ids = self.pool[np.repeat(self.starts[entries] - (upto - lens), lens) + np.arange(upto[-1])]
-        last = np.cumsum(np.asarray(counts)) - 1  # the end of each text, as a number of words
-        ends = last + np.cumsum(two >= 0)[last]
-        return ids, np.diff(np.r_[0, upto[ends]])
+        # a text's ids go up to the last entry of its last word (each text has a word, if an empty one)
+        ends = upto[upto_words - 1 + np.cumsum(second >= 0)[upto_words - 1]]
+        out = np.empty(len(ids) + len(ends), np.uint32)
+        final = ends + np.arange(len(ends))
+        inner = np.ones(len(out), bool)
+        inner[final] = False
+        out[inner], out[final] = ids, end_id
+        return out, np.diff(np.r_[-1, final])
 
 
 def encoder(path: str) -> WordEncoder:
@@ -137,3 +138,16 @@ def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
+
+
+def gathered(batches, rows_bytes: int = 8 << 20):
+    """Arrow batches joined to about ``rows_bytes`` each: repeated words are then looked up once for many texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= rows_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (last := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield last.to_batches()[0]
