@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvale.llm import audio, langid, lattice, near, packing, sharding, store, suffixes
+from corvale.llm import audio, contain, langid, lattice, near, packing, sharding, store, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(), window=2048, end_id=1)
 
 
+def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contain.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, num=4, den=5)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
@@ -54,8 +58,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op4_minhash_near_dedup, op5_sharding, op6_lattice_likelihood, op7_token_store, op9_audio_columns, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_benchmark_containment, op4_minhash_near_dedup, op5_sharding, op6_lattice_likelihood, op7_token_store, op9_audio_columns, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_containment": contain.containment_sql(width=5, num=4, den=5)}
