@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvale.llm import audio, contain, langid, lattice, near, packing, sharding, store, suffixes
+from corvale.llm import audio, contain, langid, lattice, near, packing, sharding, store, suffixes, wrapper
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.store_round_trip(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1)
 
 
+def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.describe(audio.store(table(spark, sf_dir, "documents")))
 
@@ -58,7 +62,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_benchmark_containment, op4_minhash_near_dedup, op5_sharding, op6_lattice_likelihood, op7_token_store, op9_audio_columns, op10_language_id)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_benchmark_containment, op4_minhash_near_dedup, op5_sharding, op6_lattice_likelihood, op7_token_store, op8_wrapper_extraction, op9_audio_columns, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
