@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -56,32 +57,60 @@ def texts_of(blob: bytes) -> tuple[list[int | None], list[bytes]]:
     return [None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)], [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
-def packed(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
-    """Write ``docs`` (doc_id, text) as rows (chunk, n_bytes, blob); null texts are empty."""
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def rest_of(raw: bytes) -> pa.Table:
+    """The columns that were carried along: whether the text was null, then the others."""
+    return pa.ipc.open_stream(raw).read_all().combine_chunks()
+
+
+def packed(docs: DataFrame, size: int = CHUNK_BYTES, carry: bool = False) -> DataFrame:
+    """Write ``docs`` (doc_id, text) as rows (chunk, n_bytes, blob); null texts are empty.
+
+    With ``carry`` there is a column ``rest`` of the other columns (see ``rest_of``).
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
         texts: list[bytes] = []
+        others: list[pa.RecordBatch] = []
         held = 0
 
         def full() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([chunk_of(ids, texts)], pa.binary())], ["chunk", "n_bytes", "blob"])
+            cols = [pa.array([number], pa.int64()), pa.array([held], pa.int64()), pa.array([chunk_of(ids, texts)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols + ([pa.array([_ipc(others)], pa.binary())] if carry else []), ["chunk", "n_bytes", "blob", "rest"][: 3 + carry])
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            rest = pa.RecordBatch.from_arrays(batch.columns[2:], [f"c{i}" for i in range(batch.num_columns - 2)]) if carry else None
+            taken = 0
+            for at, (i, t) in enumerate(zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True), 1):
                 ids.append(i)
                 texts.append(t)
                 held += len(t) + 1
                 if held >= size:
+                    if carry:
+                        others.append(rest.slice(taken, at - taken))
+                    taken = at
                     yield full()
                     number += 1
-                    ids, texts, held = [], [], 0
+                    ids, texts, others, held = [], [], [], 0
+            if carry and taken < batch.num_rows:
+                others.append(rest.slice(taken))
         if ids:
             yield full()
 
     small_batches(docs.sparkSession)
-    out = materialize(repeatable(docs, "texts").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "chunk long, n_bytes long, blob binary"), "chunks")
+    source = repeatable(docs, "texts")
+    extra = [F.col("text").isNull(), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))] if carry else []
+    extra = [c.alias(f"c{i}") for i, c in enumerate(extra)]
+    out = materialize(source.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInArrow(rows, "chunk long, n_bytes long, blob binary" + ", rest binary" * carry), "chunks")
     small_batches(docs.sparkSession, 4)
     return out
 
@@ -127,6 +156,6 @@ def answer(sent: DataFrame, buckets: int, reply: Callable[[int, list[tuple[int,
 
 
 def receive(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """(chunk, blob, answers): each chunk with its answers by bucket; their number is bounded by that of the buckets."""
+    """Each chunk with its answers by bucket; their number is bounded by that of the buckets."""
     own = answers.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "message"))).alias("answers"))
-    return chunks.select("chunk", "blob").join(own, "chunk", "left")
+    return chunks.drop("n_bytes").join(own, "chunk", "left")

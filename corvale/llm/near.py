@@ -215,4 +215,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     of_key = least.join(found, "doc", "left").select("key", F.coalesce("component", "doc").alias("of_set"))
     met = sigs.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
     component = F.coalesce("of_set", "doc_id")
-    return met.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return met.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without those linked to a smaller doc_id; all columns as they were.
+
+    Rows that repeat a doc_id are one document and stay or go together; rows without a doc_id stay.
+    """
+    marked = near_duplicates(docs, width, num, den).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = materialize(marked.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    return docs.join(F.broadcast(gone) if fits_broadcast(gone, 32) else gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")

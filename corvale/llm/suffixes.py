@@ -22,7 +22,7 @@ in these steps:
 All texts are whole and as UTF-8; matches never cross documents. Null texts
 are empty. Rows without a doc_id have no smaller and no larger id: they keep
 their text and take none. Repeated rows (equal doc_id) take nothing from each
-other. An empty table gives no rows; other columns are ignored by ``removed``.
+other. An empty table gives no rows; other columns are ignored by ``digests``, kept by ``deduplicated``.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvale.llm.common import mix64
-from corvale.llm.exchange import answer, expand, packed, receive, send, squeeze, texts_of, total_bytes
+from corvale.llm.exchange import MESSAGE, answer, expand, packed, receive, rest_of, send, squeeze, texts_of, total_bytes
 
 #: A perfect difference set: each difference modulo PERIOD occurs once.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -287,11 +287,11 @@ def _spans(answers: list[dict] | None, n_docs: int) -> list[list[tuple[int, int]
     return out
 
 
-def removed(docs: DataFrame, length: int = 50) -> DataFrame:
-    """Rows (chunk, blob, answers) of the texts of ``docs`` with the strings that go; see ``digests`` and ``kept_texts``."""
+def removed(docs: DataFrame, length: int = 50, carry: bool = False) -> DataFrame:
+    """Rows (chunk, blob, rest if carried, answers) of the texts of ``docs`` with the strings that go; see ``digests`` and ``deduplicated``."""
     if length < PERIOD + 8 or length < GRAM:
         raise ValueError(f"length must be at least {PERIOD + 8}")
-    chunks = packed(docs)
+    chunks = packed(docs, carry=carry)
     total = total_bytes(chunks)
     bits = min(60, max(24, int(max(1, total * len(COVER) // PERIOD)).bit_length() + 10))  # names collide for one in about a thousand
     buckets, parts = max(1, -(-total // SAMPLE_BYTES)), max(1, -(-total // SUFFIX_BYTES))
@@ -344,9 +344,7 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
                     rows.append((chunk, int(part[own[0]]), message))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "message"])
 
-    from corvale.llm.exchange import MESSAGE
-
-    routed = receive(chunks, answer(send(chunks, say), buckets, named)).mapInArrow(route, MESSAGE)
+    routed = receive(chunks.select("chunk", "blob", "n_bytes"), answer(send(chunks, say), buckets, named)).mapInArrow(route, MESSAGE)
     return receive(chunks, answer(routed, parts, lambda _, rows: _repeats(rows, length)))
 
 
@@ -363,7 +361,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for blob, answers in zip(batch.column("blob").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 ids, texts = texts_of(blob)
                 spans = _spans(answers, len(ids))
                 yield pa.RecordBatch.from_arrays(
@@ -377,17 +375,29 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
     return removed(docs, length).mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, the text that remains (a character that loses a byte goes whole) and the number of bytes removed."""
+def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
+    """``docs`` with all its columns, the repeated strings cut out of ``text``, and ``n_chars`` (if there) counted anew.
+
+    A character that loses a byte goes whole; texts of which nothing but white space is left go.
+    """
+    names = docs.columns
+    others = [c for c in names if c not in ("doc_id", "text")]
+    schema = docs.schema
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob, answers in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for blob, raw, answers in zip(*(batch.column(c).to_pylist() for c in ("blob", "rest", "answers")), strict=True):
                 ids, texts = texts_of(blob)
+                rest = rest_of(raw)
                 spans = _spans(answers, len(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([_kept(t, s).decode(errors="ignore") for t, s in zip(texts, spans, strict=True)]), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64())],
-                    ["doc_id", "kept", "n_removed"],
-                )
-
-    return removed(docs, length).mapInArrow(rows, "doc_id long, kept string, n_removed long")
+                kept = [None if null else _kept(t, s).decode(errors="ignore") for t, s, null in zip(texts, spans, rest.column(0).to_pylist(), strict=True)]
+                cols = dict(zip(others, rest.columns[1:], strict=True)) | {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(kept, pa.string())}
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([len(k) if s else n for k, s, n in zip(kept, spans, cols["n_chars"].to_pylist(), strict=True)], cols["n_chars"].type)
+                stays = pa.array([not s or bool(k.strip()) for k, s in zip(kept, spans, strict=True)])
+                for part in pa.table([cols[c] for c in names], names=names).filter(stays).combine_chunks().to_batches():
+                    yield part
+
+    plain = [F.col(f"`{c}`").cast(schema[c].dataType).alias(c) for c in names]
+    types = ", ".join(f"`{c}` " + {"doc_id": "bigint", "text": "string"}.get(c, schema[c].dataType.simpleString()) for c in names)
+    return removed(docs, length, carry=True).mapInArrow(rows, types).select(*plain)
