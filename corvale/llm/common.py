@@ -77,6 +77,31 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str, bytes_per_row:
     return big.join(F.broadcast(small) if fits_broadcast(small, bytes_per_row) else small, on, how)
 
 
+def tidy() -> None:
+    """Give memory that Arrow and the C library hold back to the system; workers live on and share an executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run):
+    """``run`` (batches to batches), with ``tidy`` when a task ends."""
+
+    def rows(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return rows
+
+
 def text_bytes(column) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null is empty."""
     return [x.encode() if x is not None else b"" for x in column.to_pylist()]

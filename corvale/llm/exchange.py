@@ -19,21 +19,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import grouped, materialize, repeatable, small_batches, text_bytes
+from corvale.llm.common import grouped, materialize, repeatable, small_batches, text_bytes, tidied
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Texts a bucket stands for, so that what meets in a task stays a few MB at any size of the input.
 BUCKET_BYTES = 24 << 20
 MESSAGE = "chunk long, bucket long, message binary"
 
 
-def squeeze(*arrays: np.ndarray) -> bytes:
+def squeeze(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays of any integer type as one compressed value."""
     out = [np.array([len(arrays)], "<u4").tobytes()]
     for a in arrays:
         kind = a.dtype.str.encode().ljust(4)
         out += [kind, np.array([len(a)], "<u8").tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out + [np.ascontiguousarray(a).tobytes() for a in arrays]))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(out + [np.ascontiguousarray(a).tobytes() for a in arrays]))
 
 
 def expand(raw: bytes) -> list[np.ndarray]:
@@ -48,13 +48,13 @@ def expand(raw: bytes) -> list[np.ndarray]:
 
 
 def chunk_of(ids: list[int | None], texts: list[bytes]) -> bytes:
-    return squeeze(np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8), np.array([len(t) for t in texts], "<u4"), np.frombuffer(b"".join(texts), np.uint8))
+    return squeeze(np.array([x or 0 for x in ids], "<i8"), np.array([x is None for x in ids], np.uint8), np.array([len(t) for t in texts], "<u4"), np.frombuffer(b"".join(texts), np.uint8), level=3)
 
 
 def texts_of(blob: bytes) -> tuple[list[int | None], list[bytes]]:
     ids, null, lens, raw = expand(blob)
-    data, ends = raw.tobytes(), np.cumsum(lens.astype(np.int64)).tolist()
-    return [None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)], [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    ends = np.cumsum(lens.astype(np.int64)).tolist()
+    return [None if n else i for i, n in zip(ids.tolist(), null.tolist(), strict=True)], [raw[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _ipc(batches: list[pa.RecordBatch]) -> bytes:
@@ -76,6 +76,7 @@ def packed(docs: DataFrame, size: int = CHUNK_BYTES, carry: bool = False) -> Dat
     With ``carry`` there is a column ``rest`` of the other columns (see ``rest_of``).
     """
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids: list[int | None] = []
@@ -111,7 +112,7 @@ def packed(docs: DataFrame, size: int = CHUNK_BYTES, carry: bool = False) -> Dat
     extra = [F.col("text").isNull(), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))] if carry else []
     extra = [c.alias(f"c{i}") for i, c in enumerate(extra)]
     out = materialize(source.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInArrow(rows, "chunk long, n_bytes long, blob binary" + ", rest binary" * carry), "chunks")
-    small_batches(docs.sparkSession, 4)
+    small_batches(docs.sparkSession, 1)  # a row is a whole chunk
     return out
 
 
@@ -131,6 +132,7 @@ def message_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def send(chunks: DataFrame, say: Callable[[list[int | None], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """The messages (bucket, bytes) that ``say`` gives for the ids and texts of each chunk."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -147,6 +149,7 @@ def meet(sent: DataFrame, buckets: int) -> DataFrame:
 def answer(sent: DataFrame, buckets: int, reply: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """The answers (chunk, bytes) that ``reply`` gives for all (chunk, bytes) of each bucket."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in grouped(batches, ["bucket"]):
             bucket = own.column("bucket")[0].as_py()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvale.llm.common import small_batches
+from corvale.llm.common import small_batches, tidied
 
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -36,10 +36,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def sample(docs: DataFrame, per_lang: int, chars: int) -> list[tuple[str, str]]:
     """At most ``per_lang`` crops of ``chars`` characters for each label, from rows that aren't held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    order = ("h", "doc_id", "crop")
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
     first = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("crop"))
-    top = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
+    part = F.pmod(F.col("h"), F.lit(256))  # a label's rows are first reduced in 256 parts, so that none meets them all
+    top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("r") <= per_lang).drop("r")
+    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_lang)
     return sorted((r["lang"], r["crop"]) for r in top.collect())
 
 
@@ -208,6 +210,7 @@ def predict_batch(net: Network | None, texts: list[str | None], block: int = 204
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score (the pooled probability of that label) of every text."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict_batch(net, batch.column(1).to_pylist())
@@ -231,6 +234,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **params) -> DataFrame:
     net = fit(docs, **params)
     at = docs.columns.index("text")
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = predict_batch(net, batch.column(at).to_pylist())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import grouped, materialize, word_hashes
+from corvale.llm.common import grouped, materialize, tidied, word_hashes
 from corvale.llm.exchange import BUCKET_BYTES, answer, expand, meet, messages, packed, receive, send, squeeze, texts_of, total_bytes
 
 SPACE_MARK = "▁"
@@ -177,6 +177,7 @@ def score(docs: DataFrame, vocabulary: str, folds: int = 7, fold: int = 2) -> Da
         for k, own in _by_bucket(words, buckets):
             yield k, squeeze(np.frombuffer(b" ".join([words[i] for i in own.tolist()]), np.uint8), seen[own])
 
+    @tidied
     def piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of pieces in the training words of each bucket; at -1 all words, at -2 the distinct ones."""
         sp = model(vocabulary)
@@ -213,6 +214,7 @@ def score(docs: DataFrame, vocabulary: str, folds: int = 7, fold: int = 2) -> Da
         for (chunk, _), own in zip(rows, places, strict=True):
             yield chunk, squeeze(total[own], marginals[own])
 
+    @tidied
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = train_tokens + distinct + 1
         base_end = math.log10((ends + 1) / floor)

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, grouped, materialize, mix64, shingle_hashes, small_batches, text_bytes
+from corvale.llm.common import fits_broadcast, grouped, materialize, mix64, shingle_hashes, small_batches, text_bytes, tidied
 
 SIZE = 64
 BLOCK = 512
@@ -66,6 +66,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def signed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, key (digest of the set; null if empty) and signature of each document; written once."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_hashes(text_bytes(batch.column(1)), width)
@@ -150,6 +151,7 @@ def links(docs: DataFrame, sigs: DataFrame, width: int, num: int, den: int) -> D
     ids = chosen.select("doc")
     texts = texts.join(F.broadcast(ids) if fits_broadcast(ids, 32) else ids, "doc", "left_semi")
 
+    @tidied
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(t, 3) for t in text_bytes(batch.column(1))], pa.binary())], ["doc", "text"])
@@ -164,6 +166,7 @@ def links(docs: DataFrame, sigs: DataFrame, width: int, num: int, den: int) -> D
         .select("doc", "signature", "text", "prefix", "token", F.least("own_block", "other").alias("x"), F.greatest("own_block", "other").alias("y"), "own_block")
     )
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in grouped(batches, ["token", "x", "y"]):
             if own.num_rows < 2:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import materialize, repeatable, small_batches
+from corvale.llm.common import materialize, repeatable, small_batches, tidied
 from corvale.llm.tokens import encoder, gathered
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -30,6 +30,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def id_batches(tokenizer: str, end_id: int):
     """A function from batches of (doc_id, text) to batches of (doc_id, part, part_start, n_tokens, ids)."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         own = encoder(tokenizer)
@@ -79,6 +80,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, w
     placed = with_starts(materialize(encoded(docs, tokenizer, end_id), "tokens"))
     schema = PIECES + (", ids binary" if with_ids else "")
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = encoder(tokenizer).tokenizer.get_vocab_size() > 1 << 16
         for batch in batches:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import mix64
+from corvale.llm.common import mix64, tidied
 from corvale.llm.exchange import MESSAGE, answer, expand, packed, receive, rest_of, send, squeeze, texts_of, total_bytes
 
 #: A perfect difference set: each difference modulo PERIOD occurs once.
@@ -190,18 +190,23 @@ class _Chunk:
         pattern = (np.arange(0, most + PERIOD, PERIOD)[:, None] + np.array(COVER)).ravel()
         usable = [i is not None and n >= length for i, n in zip(ids, self.sizes.tolist(), strict=True)]
         counts = np.where(usable, np.searchsorted(pattern, self.sizes - width, "right"), 0)
-        self.owner = np.repeat(np.arange(len(texts)), counts)
-        self.at = np.concatenate([np.zeros(0, np.int64), *(f + pattern[:c] for f, c in zip(self.first.tolist(), counts.tolist(), strict=True) if c)])
-        h = gram_hash(self.data, self.at, width) >> np.uint64(64 - bits)
-        order = np.argsort(h)
+        small = np.int32 if len(self.data) < 1 << 31 else np.int64
+        self.owner = np.repeat(np.arange(len(texts), dtype=np.int32), counts)
+        pattern = pattern.astype(small)
+        self.at = np.concatenate([np.zeros(0, small), *(pattern[:c] + small(f) for f, c in zip(self.first.tolist(), counts.tolist(), strict=True) if c)])
+        h = np.concatenate([np.zeros(0, np.uint64), *(gram_hash(self.data, self.at[i : i + (1 << 18)], width) for i in range(0, len(self.at), 1 << 18))])
+        h >>= np.uint64(64 - bits)
+        order = np.argsort(h).astype(np.int32 if len(h) < 1 << 31 else np.int64)
         ranked = h[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(h) else np.zeros(0, bool)
+        del h
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
         heads = np.flatnonzero(new)
         self.names = ranked[heads]
-        self.place = np.empty(len(h), np.int64)
-        self.place[order] = np.cumsum(new) - 1
+        del ranked
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.cumsum(new, dtype=np.int32) - 1
         who = self.owner[order]
-        self.shared = np.minimum.reduceat(who, heads) != np.maximum.reduceat(who, heads) if len(h) else np.zeros(0, bool)
+        self.shared = np.minimum.reduceat(who, heads) != np.maximum.reduceat(who, heads) if len(who) else np.zeros(0, bool)
 
     def left(self, repeated: np.ndarray) -> np.ndarray:
         """For each byte whether the string from it on holds a repeated sampled tuple in its first positions."""
@@ -210,7 +215,8 @@ class _Chunk:
         step = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(step, np.maximum(hits - PERIOD + 1, self.first[owner]), 1)
         np.add.at(step, np.minimum(hits, self.first[owner] + self.sizes[owner] - self.length) + 1, -1)
-        return np.cumsum(step)[:-1] > 0
+        np.cumsum(step, out=step)
+        return step[:-1] > 0
 
 
 def _routes(c: _Chunk, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -315,6 +321,7 @@ def removed(docs: DataFrame, length: int = 50, carry: bool = False) -> DataFrame
             at = np.minimum(np.searchsorted(again, own), max(len(again) - 1, 0))
             yield chunk, squeeze(np.packbits(again[at] == own if len(again) else np.zeros(len(own), bool)))
 
+    @tidied
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob, answers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -359,6 +366,7 @@ def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def digests(docs: DataFrame, length: int = 50) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs) and the SHA-256 of the remaining bytes."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, answers in zip(batch.column("blob").to_pylist(), batch.column("answers").to_pylist(), strict=True):
@@ -384,6 +392,7 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     others = [c for c in names if c not in ("doc_id", "text")]
     schema = docs.schema
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, raw, answers in zip(*(batch.column(c).to_pylist() for c in ("blob", "rest", "answers")), strict=True):

@@ -35,7 +35,7 @@ class WordEncoder:
     cache is cleared at ``most`` parts, which bounds a worker's memory.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
