@@ -54,7 +54,7 @@ def tokens_to_postings(rows: DataFrame, keys: list[str]) -> DataFrame:
 def build(chunks: DataFrame, key: str = "chunk_id", text: str = "content", extra: list[str] | None = None) -> Index:
     """Index all ``chunks``; postings are kept (they are used for statistics, frequencies and scores)."""
     keys = [key, *(extra or [])]
-    postings = tokens_to_postings(with_tokens(chunks.select(*keys, text), text, "tokens", CONTENT_KEYWORDS), keys).persist(StorageLevel.MEMORY_AND_DISK)
+    postings = tokens_to_postings(with_tokens(chunks.select(*keys, text), text, "tokens", CONTENT_KEYWORDS, corpus=True), keys).persist(StorageLevel.MEMORY_AND_DISK)
     stats = postings.select(key, "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     raw = postings.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n"))).select("term", "df", idf(F.col("n"), F.col("df")).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def rerank(candidates: DataFrame, strategy: str = "hybrid", k: int = 10) -> Data
     ``hybrid`` is also what unknown names mean. A query of which no keyword is left asks for its words.
     """
     c = with_tokens(candidates, "query_text", "q_tokens", QUERY_KEYWORDS)
-    c = with_tokens(c, "content", "tokens", CONTENT_KEYWORDS)
+    c = with_tokens(c, "content", "tokens", CONTENT_KEYWORDS, corpus=True).persist(StorageLevel.MEMORY_AND_DISK)  # a few rows for each query, read several times below
     scored = c.select("query_id", "chunk_id", "combined_score", F.col("rank").alias("before"), coverage(F.col("q_tokens"), F.col("tokens")).alias("coverage"), quality(F.col("content")).alias("quality"))
     if strategy == "quality":
         scored = scored.withColumn("bm25", F.lit(0.5))

@@ -143,9 +143,10 @@ def valid(u: str) -> str:
     return f"({SCHEME.format(u)} IN ('http', 'https') AND {NETLOC.format(u)} <> '' AND NOT ({ends}) AND NOT ({parts}))"
 
 
-LINKS = f"""raw AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS h, unnest(range(len(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)))) AS at FROM pages),
-joined AS (SELECT page_id, url, at, CASE WHEN prefix(h, 'http://') OR prefix(h, 'https://') THEN h ELSE {SCHEME.format("url")} || '://' || {NETLOC.format("url")} || h END AS h FROM raw
+HREF = "href=[" + chr(34) + chr(39) * 2 + "]([^" + chr(34) + chr(39) * 2 + "]+)[" + chr(34) + chr(39) * 2 + "]"
+LINKS = f"""hs AS (SELECT page_id, url, regexp_extract_all(html, '(?i){HREF}', 1) AS l FROM pages),
+raw AS (SELECT page_id, url, unnest(l) AS h, unnest(range(len(l))) AS pos FROM hs),
+joined AS (SELECT page_id, url, pos, CASE WHEN prefix(h, 'http://') OR prefix(h, 'https://') THEN h ELSE {SCHEME.format("url")} || '://' || {NETLOC.format("url")} || h END AS h FROM raw
  WHERE NOT (prefix(h, 'javascript:') OR prefix(h, 'mailto:') OR prefix(h, 'tel:') OR prefix(h, '#'))),
-links AS (SELECT page_id, {normal("url")} AS src, {normal("h")} AS dst, min(at) AS at FROM joined WHERE {valid(normal("h"))} GROUP BY ALL)"""
-TASKS = """e AS (SELECT user_id % 997 AS task_id, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, event_id AS current_item, 2 * event_id AS total_items, ts FROM events)"""
+links AS (SELECT page_id, {normal("url")} AS src, {normal("h")} AS dst, min(pos) AS pos FROM joined WHERE {valid(normal("h"))} GROUP BY ALL)"""
 ROBOTS = ", ".join(f"'{p}'" for p in ["/robots.txt", *SITEMAPS])

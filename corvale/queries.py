@@ -74,7 +74,7 @@ def both_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {O.keywords('c', 'documents', 'doc_id', 'text', 10)} SELECT key AS doc_id, (r - 1)::INTEGER AS position, k AS keyword FROM ckw")
 def keywords_extract(spark, sf_dir):
-    d = T.with_keywords(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "keywords", 10)
+    d = table(spark, sf_dir, "documents").select("doc_id", T.corpus_keywords(10)(F.col("text")).alias("keywords"))
     return d.select("doc_id", F.posexplode("keywords").alias("position", "keyword"))
 
 
@@ -113,7 +113,7 @@ def coverage(spark, sf_dir):
     """Documents that cover half of an item's tokens or more, by an inverted join of tokens."""
     asked = bm25.query_terms(text_queries(spark, sf_dir)).select("query_id", "term")
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    own = T.with_tokens(units(spark, sf_dir), "content", "tokens", 50).select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    own = T.with_tokens(units(spark, sf_dir), "content", "tokens", 50, corpus=True).select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
     met = own.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("k")).join(sizes, "query_id").where(F.col("k") * 2 >= F.col("n"))
     return met.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round(F.col("k") / F.col("n"), 6).alias("coverage"))
 
@@ -332,8 +332,8 @@ def extract_links(spark, sf_dir):
 
 
 @query(
-    f"""WITH {O.LINKS}, one AS (SELECT min({O.normal("url")}) AS s FROM pages), inner_links AS (SELECT src, dst FROM (SELECT src, dst, at FROM (SELECT src, dst, min(at) AS at FROM links GROUP BY src, dst)
-  WHERE regexp_extract(src, '//([^/]*)', 1) = regexp_extract(dst, '//([^/]*)', 1)) QUALIFY row_number() OVER (PARTITION BY src ORDER BY at, dst) <= 10),
+    f"""WITH {O.LINKS}, one AS (SELECT min({O.normal("url")}) AS s FROM pages), inner_links AS (SELECT src, dst FROM (SELECT src, dst, pos FROM (SELECT src, dst, min(pos) AS pos FROM links GROUP BY src, dst)
+  WHERE regexp_extract(src, '//([^/]*)', 1) = regexp_extract(dst, '//([^/]*)', 1)) QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos, dst) <= 10),
 l1 AS (SELECT DISTINCT dst AS url FROM inner_links, one WHERE src = s AND dst <> s), l2 AS (SELECT DISTINCT dst AS url FROM inner_links JOIN l1 ON src = url WHERE dst NOT IN (SELECT url FROM l1) AND dst <> (SELECT s FROM one))
 SELECT s AS url, 0 AS depth FROM one UNION ALL SELECT url, 1 FROM l1 UNION ALL SELECT url, 2 FROM l2"""
 )

@@ -42,10 +42,10 @@ def cancel(states: DataFrame, task_id: str) -> DataFrame:
     return states.withColumn("status", F.when((F.col("task_id") == task_id) & (F.col("status") == "running"), "cancelled").otherwise(F.col("status")))
 
 
-def task_states(events: DataFrame, hours: int = 24) -> DataFrame:
+def task_states(events: DataFrame, hours: int = 24, late: str = "10 minutes") -> DataFrame:
     """A streaming DataFrame of state changes: (task_id, status, current_item, total_items, percent).
 
-    The state of a task is kept by its key, and removed ``hours`` after its last event.
+    The state of a task is kept by its key, and removed when the watermark (``late`` behind the events) is ``hours`` past its last event.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -60,13 +60,14 @@ def task_states(events: DataFrame, hours: int = 24) -> DataFrame:
                 break
             status, current, total, changed = r.status, int(r.current_item), int(r.total_items), True
         state.update((status, current, total))
-        state.setTimeoutDuration(hours * 3_600_000)
+        until = int(rows["ts"].iloc[-1].timestamp() * 1000) + hours * 3_600_000
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if changed:
             percent = min(100.0, current / total * 100 if total > 0 else float(current))
             yield pd.DataFrame([(key[0], status, current, total, percent)], columns=["task_id", "status", "current_item", "total_items", "percent"])
 
-    return events.groupBy("task_id").applyInPandasWithState(
-        step, "task_id string, status string, current_item long, total_items long, percent double", "status string, current_item long, total_items long", "update", "ProcessingTimeTimeout"
+    return events.withWatermark("ts", late).groupBy("task_id").applyInPandasWithState(
+        step, "task_id string, status string, current_item long, total_items long, percent double", "status string, current_item long, total_items long", "update", "EventTimeTimeout"
     )
 
 
