@@ -34,14 +34,23 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int, chars: int) -> list[tuple[str, str]]:
-    """At most ``per_lang`` crops of ``chars`` characters for each label, from rows that aren't held out."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    order = ("h", "doc_id", "crop")
+    """At most ``per_lang`` crops of ``chars`` characters for each label, from rows that aren't held out: the first by a hash of doc_id.
+
+    Of a label with many rows only those below a hash that about four times as
+    many stay under are looked at, so the ranking never meets all rows of one.
+    """
+    space = 1 << 40
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(space))
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("lang", F.col("lang").cast("string"))
+    counts = [(r["lang"], min(space, space * 4 * per_lang // r["n"])) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per label
+    if not counts:
+        return []
+    below = docs.sparkSession.createDataFrame(counts, "lang string, below long")
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
-    first = usable.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("crop"))
-    part = F.pmod(F.col("h"), F.lit(256))  # a label's rows are first reduced in 256 parts, so that none meets them all
-    top = first.withColumn("r", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("r") <= per_lang).drop("r")
-    top = top.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= per_lang)
+    near = usable.select("doc_id", "lang", "text", h.alias("h")).join(F.broadcast(below), "lang").where("h < below").where(F.col("text").rlike(r"\p{L}"))
+    first = near.select("doc_id", "lang", "h", F.substring(F.col("text"), start.cast("int"), F.lit(chars)).alias("crop"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "crop")
+    top = first.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
     return sorted((r["lang"], r["crop"]) for r in top.collect())
 
 
