@@ -1,5 +1,7 @@
 """Ingest, catalog mutations and searches over a store."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,8 +14,7 @@ from corvale.sources.store import Store, to_json_rows
 DIM = 32
 
 
-def load():
-    return ingest.hash_embedder(DIM)
+load = partial(ingest.hash_embedder, DIM)
 
 
 @pytest.fixture(scope="module")
