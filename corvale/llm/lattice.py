@@ -87,6 +87,7 @@ class Lattice:
                 out[i] = self.word(r)
             else:
                 by_length.setdefault(len(r), []).append(i)
+        out[by_length.pop(0, [])] = 0.0
         for n, own in by_length.items():
             for lo in range(0, len(own), 20_000):
                 part = own[lo : lo + 20_000]
@@ -95,8 +96,6 @@ class Lattice:
 
     def _same_length(self, m: np.ndarray) -> np.ndarray:
         n = m.shape[1]
-        if not n:
-            return np.zeros(len(m))
         sums = np.zeros((n + 1, len(m)), np.uint64)
         for i in range(n):
             sums[i + 1] = sums[i] * _BASE + (m[:, i].astype(np.uint64) + np.uint64(1))

@@ -5,8 +5,8 @@ demand, as shares of one shard's fair capacity; units are placed from the
 largest on, each where the dot product of its demand with the shards' residual
 capacity is highest. Units are bounded in number: groups above ``1 / fine`` of
 a shard are units of their own (there are at most ``3 * fine * shards``),
-groups above a ``1 / coarse`` are cut into pieces of that size (one text may
-hold a third of all rows), and all smaller groups are hashed into
+groups above a ``1 / coarse`` of one are cut into pieces of ``1 / (8 * coarse)``
+(one text may hold a third of all rows), and all smaller groups are hashed into
 ``fine * shards`` units, so the greedy placement costs the same at any size.
 Counting, hashing and numbering stay in Spark.
 
@@ -57,7 +57,7 @@ def shard(docs: DataFrame, shards: int = 40, row_bytes: int = 16, fine: int = 25
     fair = [max(total[x] or 0, 1) / shards for x in ("size", "words", "n")]
     load = F.greatest(*(F.col(x) / F.lit(f) for x, f in zip(("size", "words", "n"), fair, strict=True)))
     heavy = rows.groupBy("k1", "k2").agg(*sums).withColumn("load", load).where(F.col("load") > 1.0 / fine)
-    heavy = materialize(heavy.select("k1", "k2", F.when(F.col("load") > 1.0 / coarse, F.ceil(F.col("load") * coarse)).otherwise(1).cast("int").alias("pieces")), "heavy")
+    heavy = materialize(heavy.select("k1", "k2", F.when(F.col("load") > 1.0 / coarse, F.ceil(F.col("load") * coarse * 8)).otherwise(1).cast("int").alias("pieces")), "heavy")
     light = F.pmod(F.col("k1"), F.lit(fine * shards))
     rows = rows.join(F.broadcast(heavy), ["k1", "k2"], "left").select(
         "doc_id", "size", "words", "text_crc32", "rid",
