@@ -229,6 +229,24 @@ def search_all_indexes(spark, sf_dir):
     return search.search_all_indexes(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10).select("query_id", "index_name", "chunk_id", "similarity", "index_rank", "rank")
 
 
+@query(
+    f"WITH {O.SIMILAR} SELECT query_id, chunk_id, similarity, (row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id))::INTEGER AS rank FROM sim WHERE chunk_id // 20 = 3 QUALIFY rank <= 5"
+)
+def search_within_document(spark, sf_dir):
+    """Vectors as chunks of documents of twenty; the document restricts before the choice."""
+    inside = vectors(spark, sf_dir).where(F.floor(F.col("chunk_id") / 20) == 3).select("chunk_id")
+    return search.vector_search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 5, allowed=inside).select("query_id", "chunk_id", "similarity", "rank")
+
+
+@query(f"WITH {O.VECTORS}, m AS (SELECT chunk_id, index_name, (row_number() OVER (ORDER BY chunk_id) - 1) AS position FROM v WHERE NOT deleted) SELECT * FROM m")
+def rebuilt_positions(spark, sf_dir):
+    """Positions of the live vectors in order of their chunks, from per-partition counts."""
+    from corvale.plans.ingest import numbered
+
+    live = vectors(spark, sf_dir).where(~F.col("deleted")).select("chunk_id", "index_name")
+    return numbered(live, 0, ["chunk_id"], "position").select("chunk_id", "index_name", "position")
+
+
 @query(f"WITH {O.ASKED} SELECT a.query_id AS a_id, b.query_id AS b_id, round(list_cosine_similarity(a.qe, b.qe), 6) AS similarity FROM q a, q b")
 def similarity_matrix(spark, sf_dir):
     q = vector_queries(spark, sf_dir).select(F.col("query_id").alias("id"), F.col("query_vec").alias("embedding"))
@@ -399,6 +417,13 @@ def sources_rollup(spark, sf_dir):
     return catalog.sources(documents(spark, sf_dir).select("id", "url", "crawl_type"), c, 50, "//src1", "fr").select("id", "crawl_type", "chunk_count", "content_length")
 
 
+@query("SELECT sum(len(text))::BIGINT AS total, sum(n_chars)::DOUBLE / 1000 AS seconds, round(sum(len(text)) / (sum(n_chars)::DOUBLE / 1000), 6) AS rate FROM documents")
+def throughput(spark, sf_dir):
+    """Characters a second, where a thousand characters stand for a second."""
+    own = table(spark, sf_dir, "documents").select(F.length("text").alias("n_texts"), (F.col("n_chars") / 1000).alias("seconds"))
+    return catalog.throughput(own).select("total", F.round("seconds", 3).alias("seconds"), F.round("rate", 6).alias("rate"))
+
+
 @query("SELECT source AS source_id, count(*) AS n FROM documents GROUP BY source")
 def count_by_source(spark, sf_dir):
     return catalog.count_by(documents(spark, sf_dir), "source_id")

@@ -111,3 +111,13 @@ def test_pages(spark):
 def test_json_rows(spark):
     row = spark.range(1).select(F.lit("2024-01-02 03:04:05").cast("timestamp").alias("t"), F.lit(None).cast("string").alias("n"))
     assert to_json_rows(row).first()["json"] == '{"t":"2024-01-02T03:04:05.000000","n":null}'
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from corvale.__main__ import main
+
+    main(["create", str(tmp_path / "s")])
+    main(["stats", str(tmp_path / "s")])
+    assert "vector_indexes: 1" in capsys.readouterr().out
+    main(["reset", str(tmp_path / "s")])
+    assert "has vector_indexes" in capsys.readouterr().out
