@@ -22,18 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvale.llm.common import materialize, repeatable, small_batches, tidied
-from corvale.llm.tokens import encoder, gathered
+from corvale.llm.tokens import CACHE, encoder, gathered
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def id_batches(tokenizer: str, end_id: int):
+def id_batches(tokenizer: str, end_id: int, cache: int = CACHE):
     """A function from batches of (doc_id, text) to batches of (doc_id, part, part_start, n_tokens, ids)."""
 
     @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, cache)
         wide = own.tokenizer.get_vocab_size() > 1 << 16
         for batch in gathered(batches):
             ids, counts = own.encode(batch.column(1), end_id)

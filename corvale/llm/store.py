@@ -132,10 +132,10 @@ def _manifest(recipes: DataFrame) -> DataFrame:
     return recipes.repartition("part").mapInArrow(_manifest_rows, MANIFEST)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
-    """Encode ``docs`` (doc_id, text) and write the store's files under ``path``."""
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, cache: int = 800_000) -> None:
+    """Encode ``docs`` (doc_id, text) and write the store's files under ``path``; a worker keeps the ids of ``cache`` words."""
     spark = docs.sparkSession
-    ids_of = id_batches(tokenizer, end_id)
+    ids_of = id_batches(tokenizer, end_id, cache)
     split = materialize(id_texts(docs).mapInArrow(lambda batches: _split(ids_of(batches)), "doc_id long, n_tokens long, ids binary, digests binary, lengths binary"), "split")
     (
         split.select("n_tokens", "ids", "digests", "lengths").mapInArrow(_chunk_rows, CHUNKS)

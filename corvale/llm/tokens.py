@@ -9,7 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+#: Parts a worker keeps; 100,000 take about 30 MB.
+CACHE = 300_000
 
 #: A part that is one run of Latin letters, hence one pre-token.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
@@ -35,7 +38,7 @@ class WordEncoder:
     cache is cleared at ``most`` parts, which bounds a worker's memory.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = CACHE):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,14 +50,14 @@ class WordEncoder:
     def clear(self) -> None:
         #: part -> its number; a part is one entry of the pool or two (a stem, then punctuation)
         self.index: dict[bytes, int] = {}
-        self.first, self.second = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.first, self.second = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.starts, self.lens = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _room(self, n: int, ids: int) -> None:
         while n > len(self.lens):
             for name in ("first", "second", "starts", "lens"):
-                setattr(self, name, np.r_[getattr(self, name), np.zeros(len(getattr(self, name)), np.int64)])
+                setattr(self, name, np.r_[getattr(self, name), np.zeros(len(getattr(self, name)), np.int32)])
         while self.used + ids > len(self.pool):
             self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
 
@@ -110,19 +113,20 @@ class WordEncoder:
         words = coded.dictionary.cast(pa.binary()).to_pylist()
         if len(self.index) > self.most:
             self.clear()
-        number = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        number = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         lost = np.flatnonzero(number < 0)
         if len(lost):
             new = [words[i] for i in lost.tolist()]
             self._add(new)
-            number[lost] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+            number[lost] = np.fromiter(map(self.index.__getitem__, new), np.int32, len(new))
         at = number[coded.indices.to_numpy()]
         second = self.second[at]
         entries = np.stack([self.first[at], second], 1).ravel()
         entries = entries[entries >= 0]
         lens = self.lens[entries]
         upto = np.cumsum(lens)
-        ids = self.pool[np.repeat(self.starts[entries] - (upto - lens), lens) + np.arange(upto[-1])]
+        shift = (self.starts[entries] - (upto - lens)).astype(np.int32)  # a batch has fewer than 2**31 ids
+        ids = self.pool[np.repeat(shift, lens) + np.arange(upto[-1], dtype=np.int32)]
         # a text's ids go up to the last entry of its last word (each text has a word, if an empty one)
         ends = upto[upto_words - 1 + np.cumsum(second >= 0)[upto_words - 1]]
         out = np.empty(len(ids) + len(ends), np.uint32)
@@ -133,11 +137,11 @@ class WordEncoder:
         return out, np.diff(np.r_[-1, final])
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for this file; loaded once in a process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, most: int = CACHE) -> WordEncoder:
+    """The worker's encoder for this file and size of cache; loaded once in a process."""
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = WordEncoder(path, most)
+    return _ENCODERS[path, most]
 
 
 def gathered(batches, rows_bytes: int = 8 << 20):
