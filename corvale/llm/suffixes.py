@@ -43,7 +43,7 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes of the grams whose smallest hash routes a suffix.
 GRAM = 16
 #: Bytes of text for each bucket of sampled tuples, and of suffixes.
-SAMPLE_BYTES, SUFFIX_BYTES = 16 << 20, 4 << 20
+SAMPLE_BYTES, SUFFIX_BYTES = 8 << 20, 2 << 20
 #: No byte of UTF-8.
 BREAK = b"\xff"
 
@@ -315,8 +315,10 @@ def removed(docs: DataFrame, length: int = 50, carry: bool = False) -> DataFrame
 
     def named(_: int, rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
         sets = [unpack_sorted(m) for _, m in rows]
-        every = np.sort(np.concatenate(sets))
+        every = np.concatenate(sets)
+        every.sort()
         again = np.unique(every[1:][every[1:] == every[:-1]])
+        del every
         for (chunk, _), own in zip(rows, sets, strict=True):
             at = np.minimum(np.searchsorted(again, own), max(len(again) - 1, 0))
             yield chunk, squeeze(np.packbits(again[at] == own if len(again) else np.zeros(len(own), bool)))
