@@ -1,6 +1,7 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-One page of each host is its reference; every page's DOM tree is aligned with
+One page of each host is its reference, the one nearest to the median length of
+those that aren't empty, so each host with any html has one; every page's DOM tree is aligned with
 the reference's by simple tree matching (the largest matching of children in
 order, over equal labels). A reference node whose text is the same in nearly
 all aligned pages belongs to the template; nodes with varying text, or with no
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, materialize, small_batches
+from corvale.llm.common import fits_broadcast, join_bounded, materialize, small_batches
 
 #: A reference node is template if this share of its partners, in at least so many different pages, has its text.
 SHARE, SUPPORT = 0.8, 5
@@ -291,12 +292,12 @@ def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> D
     """page_id, url, text and n_chars of ``pages`` (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#]*)", 1), F.lit("")))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    size = F.length("html")
-    average = own.groupBy("host").agg(F.avg(size).alias("mean"))
-    # the reference: of the pages of half to one average length, the first by a hash of its id
-    chosen = own.select("host", "page_id", size.alias("n")).join(average, "host").where("n between mean / 2 and mean").groupBy("host").agg(F.min_by("page_id", F.struct(F.xxhash64("page_id"), "page_id")).alias("ref_id"))
-    chosen = materialize(chosen, "reference-ids")
-    refs = own.join(F.broadcast(chosen.select("ref_id", F.col("host").alias("ref_host"))) if fits_broadcast(chosen, 64) else chosen.select("ref_id", F.col("host").alias("ref_host")), (F.col("page_id") == F.col("ref_id")) & (F.col("host") == F.col("ref_host")))
+    # the reference: the page nearest to the median length of the host's pages that have any html, ties by a hash of it
+    filled = own.where("length(html) > 0").select("host", F.length("html").alias("n"), F.xxhash64("html").alias("mark"))
+    medians = materialize(filled.groupBy("host").agg(F.expr("percentile(n, 0.5)").alias("median")), "medians")
+    chosen = join_bounded(filled, medians, "host", "inner", 64).groupBy("host").agg(F.min(F.struct(F.abs(F.col("n") - F.col("median")).alias("far"), "mark")).alias("ref"))
+    chosen = materialize(chosen.select(F.col("host").alias("ref_host"), F.col("ref.mark").alias("ref_mark")), "reference-ids")
+    refs = join_bounded(own.where("length(html) > 0"), chosen, (F.xxhash64("html") == F.col("ref_mark")) & (F.col("host") == F.col("ref_host")), "inner", 64)
     refs = materialize(refs.groupBy("host").agg(F.min("html").alias("reference")), "references")
     length = refs.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
     small_batches(pages.sparkSession, 256)

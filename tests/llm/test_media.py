@@ -60,6 +60,17 @@ def test_template_text_goes(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_each_host_has_a_reference(spark):
+    """Ten short pages and a long one: none is of half to one mean length. Ids may be null."""
+    body = "<article><p>Read our daily letter</p><p>{text}</p></article>"
+    rows = [(i, f"https://skew.org/{i}", page(i, body.format(text=f"Story {i} " + "abc" * 40))) for i in range(10)]
+    rows += [(10, "https://skew.org/10", page(10, body.format(text="Story 10 " + "long " * 10_000))), (11, "https://skew.org/11", "")]
+    rows += [(None, f"https://null.org/{i}", page(i, body.format(text=f"Other {i} " + "xyz" * 40))) for i in range(8)]
+    texts = [r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(texts) == 20 and sum("Story" in t for t in texts) == 11 and sum("Other" in t for t in texts) == 8
+    assert not any("daily letter" in t for t in texts)
+
+
 # --- audio -------------------------------------------------------------------------
 
 
