@@ -177,18 +177,22 @@ class Page:
 
 
 class Matcher:
-    """Simple tree matching; sizes of matchings are remembered by the shapes of subtrees."""
+    """Simple tree matching; sizes of matchings are remembered by the shapes of subtrees, up to about ``most`` shapes."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = 200_000) -> None:
+        self.most = most
         self.shapes: dict[tuple, int] = {}
         self.kids: list[tuple] = []
         self.names: list[str] = []
         self.sizes: dict[tuple[int, int], int] = {}
 
+    def make_room(self) -> None:
+        """Forget all shapes if they are too many; only to be called before both pages of a pair are numbered."""
+        if len(self.kids) > self.most:
+            self.__init__(self.most)
+
     def shape(self, page: Page) -> list[int]:
-        """A number for the shape (labels and order) of each element's subtree."""
-        if len(self.kids) > 200_000:
-            self.__init__()
+        """A number for the shape (labels and order) of each element's subtree; it holds until ``make_room`` is called."""
         out = [0] * len(page.tags)
         for e in range(len(page.tags) - 1, -1, -1):
             key = (page.labels[e], *(out[c] for c in page.children[e]))
@@ -255,9 +259,9 @@ class Matcher:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
     """(page_id, url, host, html, reference) to blocks of text with their reference nodes."""
-    matcher = Matcher()
+    matcher = Matcher(most)
     refs: dict[str, tuple[Page, dict[int, str]]] = {}
     for batch in batches:
         page_ids, urls, hosts, sources, references = (c.to_pylist() for c in batch.columns)
@@ -276,6 +280,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         own[e] = f"{own[e]} {t}" if e in own else t
                     refs[host] = ref, own
                 ref, own = refs[host]
+                matcher.make_room()
                 shapes = matcher.shape(page)
                 partner = matcher.align(page, shapes, ref, matcher.shape(ref))
             nodes.append([partner[e] if partner else -1 for e, _ in content])

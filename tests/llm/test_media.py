@@ -71,6 +71,17 @@ def test_each_host_has_a_reference(spark):
     assert not any("daily letter" in t for t in texts)
 
 
+def test_shapes_are_forgotten_between_pairs():
+    """With any bound on remembered shapes the nodes are the same."""
+    import pyarrow as pa
+
+    sources = [page(i, "<article>" + "<p>a</p><ul><li>b</ul>" * (i % 7) + f"<p>{i}</p></article>") for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(["u"] * 30), pa.array(["h"] * 30), pa.array(sources), pa.array([sources[3]] * 30)], ["page_id", "url", "host", "html", "reference"])
+    want = next(wrapper._blocks(iter([batch]))).to_pydict()
+    for most in (0, 10, 40, 60):
+        assert next(wrapper._blocks(iter([batch]), most)).to_pydict() == want
+
+
 # --- audio -------------------------------------------------------------------------
 
 
