@@ -4,8 +4,8 @@ One page of each host is its reference, the one nearest to the median length of
 those that aren't empty, so each host with any html has one; every page's DOM tree is aligned with
 the reference's by simple tree matching (the largest matching of children in
 order, over equal labels). A reference node whose text is the same in nearly
-all aligned pages belongs to the template; nodes with varying text, or with no
-partner, are slots for content. Elements that by tag, role or class are menus,
+all different pages of the host belongs to the template; nodes with varying
+text, or with no partner, are slots for content. Elements that by tag, role or class are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts or comments are
 never content, whether they vary or not.
 
@@ -14,7 +14,9 @@ text with the reference node each is aligned with; counting over a host and
 the final choice are joins of those. Hosts of any size are split over tasks.
 
 Null and empty html give empty text; a null or odd url is a host of its own
-name (the empty one). Copies of a page count once in the votes. Repeated rows
+name (the empty one). Copies of a page count once in the votes, and so
+do the pages of a group of near copies (half of the text or more in blocks
+that they share), so what only they have in common stays. Repeated rows
 give a row each, an empty table none; other columns are ignored.
 """
 
@@ -32,8 +34,10 @@ from pyspark.sql import functions as F
 
 from corvale.llm.common import fits_broadcast, join_bounded, materialize, small_batches
 
-#: A reference node is template if this share of its partners, in at least so many different pages, has its text.
+#: A reference node is template if this share of the host's different pages, and at least so many, have its text.
 SHARE, SUPPORT = 0.8, 5
+#: The vote of a page that shares less than half of its text; near copies have about one together.
+VOTE = 1 << 32
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -293,6 +297,28 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[
         )
 
 
+def _weights(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, digest, weight) of each different page, and (host, total) of the weights.
+
+    Half of a page's text or more lies in blocks that at most ``c`` different
+    pages of the host have; for the smallest such ``c`` its weight is VOTE / c.
+    The pages of a group of near copies thus have about one vote together,
+    while boilerplate of less than half of a page doesn't lower its weight.
+    """
+    each = blocks.select("host", "digest", F.explode("texts").alias("t")).select("host", "digest", F.xxhash64("t").alias("mark"), F.length("t").cast("long").alias("n"))
+    own = materialize(each.groupBy("host", "digest", "mark").agg(F.max("n").alias("n")), "marks")
+    shared = materialize(own.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-marks")
+    counts = join_bounded(own, shared, ["host", "mark"], "left", 64).select("host", "digest", F.coalesce("c", F.lit(1)).cast("long").alias("c"), "n")
+    sums = counts.groupBy("host", "digest", "c").agg(F.sum("n").alias("n")).groupBy("host", "digest").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("parts"), F.sum("n").alias("size"))
+    half = F.aggregate(
+        "parts", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("c")),
+        lambda s, x: F.when(2 * s["upto"] >= F.col("size"), s).otherwise(F.struct((s["upto"] + x["n"]).alias("upto"), x["c"].alias("c"))),
+        lambda s: s["c"],
+    )
+    weights = materialize(sums.select("host", "digest", half.alias("c")).select("host", "digest", F.floor(F.lit(VOTE) / F.col("c")).cast("long").alias("weight")), "weights")
+    return weights, materialize(weights.groupBy("host").agg(F.sum("weight").alias("total")), "totals")
+
+
 def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """page_id, url, text and n_chars of ``pages`` (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#]*)", 1), F.lit("")))
@@ -308,10 +334,14 @@ def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> D
     small_batches(pages.sparkSession, 256)
     met = own.join(F.broadcast(refs) if length < 16 << 20 else refs, "host", "left").select("page_id", "url", "host", "html", "reference")
     blocks = materialize(met.mapInArrow(_blocks, "page_id long, url string, host string, digest long, nodes array<int>, texts array<string>, same array<boolean>"), "blocks")
-    votes = blocks.select("host", "digest", F.explode_outer(F.arrays_zip("nodes", "same")).alias("v")).where("v.nodes >= 0")
-    different = votes.groupBy("host", "v.nodes", "digest").agg(F.max(F.col("v.same").cast("int")).alias("same"))
-    counted = different.groupBy("host", "nodes").agg(F.sum("same").alias("same"), F.count(F.lit(1)).alias("n"))
-    template = materialize(counted.where((F.col("same") >= support) & (F.col("same") >= F.col("n") * share)).groupBy("host").agg(F.collect_set("nodes").alias("constant")), "template")
+    weights, totals = _weights(blocks)
+    votes = blocks.select("host", "digest", F.explode(F.arrays_zip("nodes", "same")).alias("v")).where("v.nodes >= 0")
+    different = votes.groupBy("host", "v.nodes", "digest").agg(F.max(F.col("v.same").cast("int")).alias("same")).where("same = 1")
+    light = weights.where(F.col("weight") < VOTE)
+    weight = F.coalesce(F.col("weight"), F.lit(VOTE))
+    counted = join_bounded(different, light, ["host", "digest"], "left", 64).groupBy("host", "nodes").agg(F.sum(weight).alias("same"))
+    enough = (F.col("same") >= support * VOTE) & (F.col("same") >= F.col("total") * share)
+    template = materialize(join_bounded(counted, totals, "host", "inner", 64).where(enough).groupBy("host").agg(F.collect_set("nodes").alias("constant")), "template")
     kept = blocks.join(F.broadcast(template) if fits_broadcast(template, 4096) else template, "host", "left")
     slots = F.filter(F.arrays_zip("nodes", "texts", "same"), lambda b: F.col("constant").isNull() | ~b["same"] | ~F.array_contains("constant", b["nodes"]))
     text = F.array_join(F.transform(slots, lambda b: b["texts"]), " ")

@@ -82,6 +82,24 @@ def test_shapes_are_forgotten_between_pairs():
         assert next(wrapper._blocks(iter([batch]), most)).to_pydict() == want
 
 
+def test_near_copies_vote_once(spark):
+    """Revisions of one article, and paragraphs only few pages reach, aren't template; a line of all different pages is."""
+    def rows_of(host, first, bodies):
+        return [(first + i, f"https://{host}/{i}", page(i, "<article><p>Read our daily letter</p>" + "".join(f"<p>{p}</p>" for p in body) + "</article>")) for i, body in enumerate(bodies)]
+
+    story = [f"Paragraph {k} of the one long story" for k in range(10)]
+    revised = [[*story[: i % 10], f"Revision {i} of this part of the story", *story[i % 10 + 1 :]] for i in range(30)]
+    others = [[f"Piece {i} on something {k} else {i * k}" for k in range(4)] for i in range(8)]
+    deep = [[f"Long page {i} part {k} number {i * k}" for k in range(20)] + ["The end is near, they all say at last"] for i in range(6)]
+    short = [[f"Short page {i} part {k} number {i * k}" for k in range(3)] for i in range(20)]
+    rows = rows_of("copies.org", 0, revised) + rows_of("mixed.org", 100, revised + others) + rows_of("deep.org", 200, deep + short)
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, body in enumerate(revised):
+        assert got[i].endswith(" ".join(body)) and got[100 + i] == " ".join(body)
+    assert [got[130 + i] for i in range(8)] == [" ".join(b) for b in others]
+    assert [got[200 + i] for i in range(26)] == [" ".join(b) for b in deep + short]
+
+
 # --- audio -------------------------------------------------------------------------
 
 
