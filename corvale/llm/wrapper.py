@@ -1,13 +1,16 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 One page of each host is its reference, the one nearest to the median length of
-those that aren't empty, so each host with any html has one; every page's DOM tree is aligned with
-the reference's by simple tree matching (the largest matching of children in
-order, over equal labels). A reference node whose text is the same in nearly
-all different pages of the host belongs to the template; nodes with varying
-text, or with no partner, are slots for content. Elements that by tag, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts or comments are
-never content, whether they vary or not.
+those that aren't empty, so each host with any html has one; every page's DOM
+tree is aligned with the reference's by simple tree matching (the largest
+matching of children in order, over equal labels). A reference node whose text
+is the same in nearly all different pages of the host belongs to the template;
+nodes with varying text, or with no partner, are slots for content. Elements
+that by tag, role or class are menus, headers, footers, sidebars, notices,
+adverts, forms, scripts or comments are never content, whether they vary or
+not; words and forms don't take out a wrapper of the main container, nor a
+section of an article that has its topic as id. All containers of the best
+kind are content; in pages without any, lists that are mostly links are not.
 
 Pages are read once: parsing and alignment are map-side and write blocks of
 text with the reference node each is aligned with; counting over a host and
@@ -48,13 +51,19 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Never content, by tag.
-OUT_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas audio video dialog menu title".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Never content, by a word of class or id.
+OUT_TAGS = frozenset("head script style noscript template nav footer aside button select textarea input iframe object svg canvas audio video dialog menu title".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Not content, by a word of class or id, unless the element holds the main container.
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar sidenav aside footer masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies discussion disqus pagination pager widget widgets toolbar skip search".split()
 )
 MAIN_WORDS = frozenset("article post entry story content main".split())
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
+#: Words beside one of ``OUT_WORDS`` that say what a layout has, not what an element is.
+STATE_WORDS = frozenset("has have no not with without".split())
+#: Words that as an id inside a main container may name a section of the article.
+TOPIC_WORDS = frozenset("advertisement advertising banner consent cookies discussion navigation notice notices notification promotion recommendations recommended related search sharing sponsor subscription".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Page:
@@ -66,7 +75,13 @@ class Page:
         self.blocks: list[tuple[int, str, float]] = []
         self._parts: list[str] = []
         self._linked = 0
+        #: Elements that are out unless they hold the main container: whether they may be a wrapper by their own tag and words, a section of the article.
+        self._soft: dict[int, tuple[bool, bool]] = {}
+        self._comments: set[int] = set()
+        self._boxes: list[int] = []
         self._parse(source)
+        if self._soft:
+            self._settle()
 
     def _flush(self, at: int) -> None:
         if self._parts:
@@ -76,20 +91,33 @@ class Page:
             self._parts, self._linked = [], 0
 
     def _add(self, tag: str, attributes: str, parent: int) -> int:
-        role, words, hidden = "", set(), False
+        role, words, names, tokens, hidden = "", set(), set(), [], False
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
                 if name in ("class", "id"):
-                    words.update(re.split(r"[^a-z]+", value))
+                    split = re.split(r"[^a-z]+", value)
+                    words.update(split)
+                    tokens += value.split()
+                    if name == "class":
+                        names.update(split)
                 elif name == "role":
                     role = value
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
         number = len(self.tags)
         inside = self.main[parent]
-        out = self.out[parent] or hidden or tag in OUT_TAGS or role in OUT_ROLES or tag not in ("html", "body", "article", "main") and bool(words & OUT_WORDS) or tag == "article" and bool(words & {"comment", "comments", "reply"})
-        out = out or tag == "header" and not inside
+        marked = tag not in ("html", "body", "article", "main") and bool(words & OUT_WORDS)
+        out = self.out[parent] or hidden or tag in OUT_TAGS or role in OUT_ROLES or tag == "article" and bool(words & {"comment", "comments", "reply"})
+        out = out or tag == "header" and not inside or marked and tag in INLINE
+        topic = marked and bool(inside) and not names & OUT_WORDS and words & OUT_WORDS <= TOPIC_WORDS
+        if topic and tag in HEADINGS:
+            marked = False
+        if not out and (marked or tag == "form" or role == "form"):
+            plain = any(not OUT_WORDS.intersection(re.split(r"[^a-z]+", t)) for t in tokens)
+            self._soft[number] = (not marked or plain or bool(words & STATE_WORDS), topic and tag == "section")
+            if words & COMMENT_WORDS:
+                self._comments.add(number)
         self.tags.append(tag)
         self.labels.append(tag + "." + " ".join(sorted(w for w in words if w)) if words else tag)
         self.parents.append(parent)
@@ -98,8 +126,42 @@ class Page:
         self.out.append(out)
         rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if words & MAIN_WORDS and tag in ("div", "section", "td") else 0
         self.main.append(max(inside, rank))
+        if rank and not out and not words & COMMENT_WORDS and (rank > 1 or not marked or any(MAIN_WORDS & (own := set(re.split(r"[^a-z]+", t))) and not own & OUT_WORDS for t in tokens)):
+            self._boxes.append(number)
         return number
 
+    def _settle(self) -> None:
+        """Take out the elements that by words or as forms are no content, but not those around the main container."""
+        n, parents, soft = len(self.tags), self.parents, self._soft
+        size, whole = [0.0] * n, [0] * n  # characters that are no links, and all
+        for e, text, linked in self.blocks:
+            size[e] += len(text) * max(0.0, 1 - linked)
+            whole[e] += len(text)
+        shut, talk, left = [False] * n, [False] * n, 0.0
+        for e in range(1, n):
+            shut[e] = shut[parents[e]] or e in soft
+            talk[e] = talk[parents[e]] or e in self._comments
+        left = sum(x for e, x in enumerate(size) if not shut[e])
+        for e in range(n - 1, 0, -1):
+            size[parents[e]] += size[e]
+            whole[parents[e]] += whole[e]
+        boxes = [e for e in self._boxes if size[e] > 0]
+        seen = any(not shut[e] for e in boxes)
+        free = [e for e in boxes if shut[e] and 2 * size[e] > size[0] and not (seen and talk[e])]
+        if boxes and not seen:
+            best = max(boxes, key=lambda e: (not talk[e], self.main[e], size[e], -e))
+            free += [best] * (size[best] > left)
+        if not boxes:
+            free += [e for e, (wrapper, _) in soft.items() if wrapper and 2 * size[e] > size[0]]
+        kept = {e for e, (_, topic) in soft.items() if topic and size[e] >= 0.4 * whole[e]}
+        for e in free:
+            while e > 0:
+                kept.add(e)
+                e = parents[e]
+        for e in range(1, n):
+            self.out[e] = self.out[e] or self.out[parents[e]] or e in soft and e not in kept
+        self.blocks = [b for b in self.blocks if not self.out[b[0]]]
+
     def _parse(self, source: str) -> None:
         at, pos, block, in_link = 0, 0, 0, 0
         tags, parents = self.tags, self.parents
@@ -159,25 +221,26 @@ class Page:
         self._flush(block)
 
     def content(self) -> list[tuple[int, str]]:
-        """Blocks of the best kind of container that has any (the largest one), of the whole page if there is none."""
-        sums: dict[int, int] = {}
-        top: dict[int, int] = {}
+        """Blocks of all containers of the best kind that has half of the text in containers, of the whole page if there is none."""
+        held = [0] * 4
         for e, text, _ in self.blocks:
-            up, best, rank = e, -1, self.main[e]
-            while up > 0 and rank and self.main[up] == rank:
-                best, up = up, self.parents[up]
-            if rank:
-                top[e] = best
-                sums[best] = sums.get(best, 0) + len(text)
-        if sums:
-            chosen = max(sums, key=lambda e: (self.main[e], sums[e], -e))
-            return [(e, t) for e, t, _ in self.blocks if self._within(e, chosen)]
-        return [(e, t) for e, t, linked in self.blocks if linked <= 0.6]
-
-    def _within(self, e: int, box: int) -> bool:
-        while e > box:
-            e = self.parents[e]
-        return e == box
+            for rank in range(1, self.main[e] + 1):
+                held[rank] += len(text)
+        if held[1]:
+            least = max(rank for rank in (1, 2, 3) if 2 * held[rank] >= held[1])
+            return [(e, t) for e, t, _ in self.blocks if self.main[e] >= least]
+        if all(linked <= 0.6 for _, _, linked in self.blocks):
+            return [(e, t) for e, t, _ in self.blocks]
+        whole, links = [0] * len(self.tags), [0.0] * len(self.tags)
+        for e, text, linked in self.blocks:
+            whole[e] += len(text)
+            links[e] += len(text) * linked
+        for e in range(len(self.tags) - 1, 0, -1):
+            whole[self.parents[e]] += whole[e]
+            links[self.parents[e]] += links[e]
+        # a paragraph or heading that is a link stays if what is around it isn't links
+        among = [tag in HEADINGS or tag in ("p", "blockquote") for tag in self.tags]
+        return [(e, t) for e, t, linked in self.blocks if linked <= 0.6 or among[e] and links[up := self.parents[e]] <= 0.6 * whole[up]]
 
 
 class Matcher:

@@ -100,6 +100,29 @@ def test_near_copies_vote_once(spark):
     assert [got[200 + i] for i in range(26)] == [" ".join(b) for b in deep + short]
 
 
+WORDS = " ".join(f"word{i}" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{WORDS}</article><div class="sidebar">Side</div></div>', WORDS),
+        (f'<div class="no-sidebar"><div class="post-content"><p>{WORDS}</div><div class="comments"><p>{WORDS} {WORDS}</div></div>', WORDS),
+        (f'<div class="layout has-sidebar"><p>{WORDS}</p><div class="sidebar">Side</div></div>', WORDS),
+        (f'<form action="x"><nav>Menu</nav><p>{WORDS}</p><select><option>a</select></form>', WORDS),
+        (f'<article><h2>One</h2><p>{WORDS}</p><section id="discussion"><h2 id="discussion-1">Two</h2><p>More</p></section></article>', f"One {WORDS} Two More"),
+        (f'<article><p>{WORDS}</p><section id="related"><ul><li><a href="x">Link</a></ul></section></article><div class="related"><article>Card</article></div>', WORDS),
+        (f'<div class="post-content"><p>{WORDS}</div><div class="post-content"><p>Second</div>', f"{WORDS} Second"),
+        (f'<article><p>Teaser</article><div class="content"><p>{WORDS}</div>', f"Teaser {WORDS}"),
+        (f'<p>{WORDS}</p><p><a href="x">A paragraph that is a link</a></p><ul><li><a href="y">Menu</a></ul>', f"{WORDS} A paragraph that is a link"),
+        (f'<p>Body of the page</p><div class="related"><article>Card</article></div><div class="cookie-notice">{WORDS}</div>', "Body of the page"),
+        (f'<article><p>Short</article><div class="comments"><div class="post">{WORDS}</div></div><div class="sidebar-content">{WORDS} {WORDS}</div>', "Short"),
+    ],
+)
+def test_content_inside_wrappers(html, want):
+    assert " ".join(t for _, t in wrapper.Page(f"<html><body>{html}</body></html>").content()) == want
+
+
 # --- audio -------------------------------------------------------------------------
 
 
