@@ -68,10 +68,10 @@ def search_all_indexes(vectors: DataFrame, queries: DataFrame, k: int = 10, key:
 
 
 def similarity_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id, similarity) of all pairs of two sets (id, embedding)."""
+    """(a_id, b_id, similarity) of all pairs of two sets (id, embedding); ``a`` is broadcast if it is counted to be small."""
     x = a.select(F.col("id").alias("a_id"), vector.unit(F.col("embedding")).alias("x"))
     y = b.select(F.col("id").alias("b_id"), vector.unit(F.col("embedding")).alias("y"))
-    return x.crossJoin(y).select("a_id", "b_id", F.round(vector.dot(F.col("x"), F.col("y")), DECIMALS).alias("similarity"))
+    return _pairs(y, x).select("a_id", "b_id", F.round(vector.dot(F.col("x"), F.col("y")), DECIMALS).alias("similarity"))
 
 
 def min_max(score: Column, over: Window, constant: Column) -> Column:

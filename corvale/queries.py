@@ -253,6 +253,13 @@ def similarity_matrix(spark, sf_dir):
     return search.similarity_matrix(q, q)
 
 
+@query(f"WITH {O.VECTORS}, {O.ASKED} SELECT query_id AS a_id, chunk_id AS b_id, round(list_cosine_similarity(qe, e), 6) AS similarity FROM q, v")
+def similarity_matrix_all(spark, sf_dir):
+    """The query set against all rows of embeddings; ``similarity_matrix`` has the query set on both sides, as its SQL."""
+    a = vector_queries(spark, sf_dir).select(F.col("query_id").alias("id"), F.col("query_vec").alias("embedding"))
+    return search.similarity_matrix(a, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+
+
 @query()
 def vector_approximate(spark, sf_dir):
     """Probed cells of a k-means model; recall against the exact scan is tested."""

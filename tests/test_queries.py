@@ -34,3 +34,10 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_similarity_of_all_rows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = QUERIES["similarity_matrix_all"](spark, sf_dir)
+    assert got.count() == e.where("vec_id % 50 = 0").count() * e.count()
+    assert got.select("b_id").distinct().count() == e.select("vec_id").distinct().count()
