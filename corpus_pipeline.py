@@ -19,7 +19,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is told apart; the others (no letters, too little to tell) go."""
+    """Keep the documents whose language is told apart; the others (no letters, too little to tell) go. With no label to learn from, all that have a letter stay."""
     return langid.keep_identified(docs, least=0.4)
 
 

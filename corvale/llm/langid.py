@@ -238,6 +238,7 @@ def identify(docs: DataFrame, **params) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5, **params) -> DataFrame:
     """The rows of ``docs`` with a language of at least ``least`` pooled probability, all columns as they were.
 
+    Without any labelled row there is no model to tell languages apart, and all rows whose text has a letter stay.
     The rows pass through the labelling as they are, so ids that repeat or are null can't be confused.
     """
     net = fit(docs, **params)
@@ -246,7 +247,11 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **params) -> DataFrame:
     @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = predict_batch(net, batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            if net is None:
+                yield batch.filter(pa.array([t is not None and _LETTER.search(t) is not None for t in texts], pa.bool_()))
+                continue
+            names, scores = predict_batch(net, texts)
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]))
 
     small_batches(docs.sparkSession)

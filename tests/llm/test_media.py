@@ -259,3 +259,9 @@ def test_identify(spark):
 def test_windows_read_every_byte():
     raw = bytes(range(256)) * 3
     assert b"".join(w.tobytes() for w in langid.windows(raw, 64)).replace(b"\0", b"") == raw.replace(b"\0", b" ")
+
+
+def test_documents_stay_without_any_label(spark):
+    rows = [(i, f"some words {i}", None, "s") for i in range(20)] + [(50, None, None, "s"), (51, "123 !!", None, "s"), (52, "", None, "s")]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), 0.4)
+    assert sorted(k["doc_id"] for k in kept.collect()) == list(range(20))
