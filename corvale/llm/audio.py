@@ -3,7 +3,7 @@
 ``store`` wraps bytes losslessly as 8-bit mu-law samples of a WAV file,
 ``describe`` reads the stored files back, expands the samples by lookup table,
 decodes ADPCM with numpy over all blocks of a batch at once, resamples to
-``rate`` and gives features; ``decode`` gives the resampled PCM itself.
+``rate``, stores that PCM and gives features; ``decode`` gives the resampled PCM itself.
 
 Null and empty texts give one block of filling. Equal texts give equal values,
 in whatever batch they lie. Repeated rows give a row each, an empty table none;
@@ -196,7 +196,8 @@ def describe(media: DataFrame, rate: int = 16000) -> DataFrame:
 
     ``feature`` has the energy of the samples as mu-law and as A-law, the sign
     changes, the energy of the data's blocks as ADPCM and the CRC of the PCM
-    resampled to ``rate``.
+    resampled to ``rate``, which is written as little-endian 16-bit samples and
+    read back for it.
     """
 
     def block_energies(datas: list[bytes]) -> list[int]:
@@ -215,19 +216,21 @@ def describe(media: DataFrame, rate: int = 16000) -> DataFrame:
                 continue
             files = [from_wav(r) for r in raws]
             energies = block_energies([f[3] for f in files])
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for raw, (_, own, _, data), ima in zip(raws, files, energies, strict=True):
                 a = np.frombuffer(data, np.uint8)
                 pcm = MU_TABLE[a]
                 flips = int(np.count_nonzero((a[1:] ^ a[:-1]) & 128))
-                heard = zlib.crc32(resample(pcm, own, rate).astype("<i2").tobytes())
-                feature = f"mu={_energy(pcm)};a={_energy(A_TABLE[a])};flips={flips};ima={ima};pcm{rate}={heard:08x}"
-                for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature), strict=True):
+                heard = resample(pcm, own, rate).astype("<i2").tobytes()
+                feature = f"mu={_energy(pcm)};a={_energy(A_TABLE[a])};flips={flips};ima={ima}"
+                for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, heard), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(cols[5])],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4]), pa.array(cols[5]), pa.array(cols[6], pa.binary())],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],
             )
 
-    small_batches(media.sparkSession, 256)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    small_batches(media.sparkSession, 64)
+    described = media.select("doc_id", "n_bytes", "media").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+    heard = F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0")
+    return materialize(described, "pcm", 16 << 20).withColumn("feature", F.concat("feature", F.lit(f";pcm{rate}="), heard)).drop("pcm")

@@ -47,15 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return (named or context.getCheckpointDir()).rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, row_group: int = 128 << 20) -> DataFrame:
     """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
 
     It cuts the lineage like checkpoint(), but the files are compressed, only
-    the columns in use are read again, and a lost executor loses nothing.
+    the columns in use are read again, and a lost executor loses nothing. A
+    reader holds a column of a row group, so large binaries need small ones.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/corvale-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -185,6 +185,19 @@ def test_media_columns(spark):
     assert [r["pcm"] for r in audio.decode(bad).collect()] == [None, None]
 
 
+def test_resampled_pcm_is_stored(spark):
+    import glob
+
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file:')}/corvale-pcm-*"))
+    before = files()
+    media = audio.store(spark.createDataFrame([(i, "some text " * i) for i in range(6)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["feature"] for r in audio.describe(media).collect()}
+    (path,) = files() - before
+    stored = {r["doc_id"]: bytes(r["pcm"]) for r in spark.read.parquet(path).collect()}
+    assert stored == {r["doc_id"]: bytes(r["pcm"]) for r in audio.decode(media).collect()}
+    assert all(got[i].endswith(f";pcm16000={zlib.crc32(stored[i]):08x}") for i in range(6))
+
+
 # --- language ----------------------------------------------------------------------
 
 PARTS = {"aa": "ka ta ra na ma", "bb": "öl üb äch sch ung", "cc": "tion ing the er st"}
