@@ -1,6 +1,7 @@
 """Sharding by vector bin packing.
 
-Rows with equal texts form a group. Bytes, words and rows of a unit are its
+Rows with equal texts form a group. Bytes, words (runs between white space, and
+single characters of scripts without spaces) and rows of a unit are its
 demand, as shares of one shard's fair capacity; units are placed from the
 largest on, each where the dot product of its demand with the shards' residual
 capacity is highest. Units are bounded in number: groups above ``1 / fine`` of
@@ -24,6 +25,9 @@ from corvale.llm.common import materialize
 
 #: Bytes decide the law that sizes are near equal; words and rows are balanced along with them.
 WEIGHTS = (6.0, 1.0, 1.0)
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: A token: a run between white space of any kind, or one character of a script written without spaces.
+TOKEN = rf"[{_UNSPACED}]|[^\s\p{{Z}}\x85{_UNSPACED}]++"
 
 
 def place(demand: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
@@ -46,7 +50,7 @@ def shard(docs: DataFrame, shards: int = 40, row_bytes: int = 16, fine: int = 25
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + row_bytes).cast("long").alias("size"),
-            F.coalesce(F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1, F.lit(0)).cast("long").alias("words"),
+            F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long").alias("words"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
             F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), F.monotonically_increasing_id().alias("rid"),
         ),

@@ -135,6 +135,16 @@ def test_sharding(spark):
     assert sharding.shard(df.limit(0), 7).count() == 0
 
 
+def test_tokens_between_any_white_space_are_balanced(spark):
+    """Texts of equal bytes: many tokens by newlines, tabs or in a script without spaces, or a single one."""
+    rows = [(i, f"{i:04d}" + ("\nab" * 300, "\tab" * 300, "語" * 300, "x" * 900)[i % 4]) for i in range(160)]
+    tokens = {i: 1 if i % 4 == 3 else 301 for i, _ in rows}
+    sums = collections.Counter()
+    for g in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect():
+        sums[g["shard"]] += tokens[g["doc_id"]]
+    assert max(sums.values()) <= 1.04 * min(sums.values())
+
+
 def test_equal_texts_stay_together(spark):
     rows = [(i, f"text {i // 3}") for i in range(900)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
