@@ -45,6 +45,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: what all special pieces begin with; they are matched in the text as it is, so their case counts
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = os.path.commonprefix([re.split("[A-Za-z]", t)[0] for t in special])
+        self.has_special = bool(special)
         self.clear()
 
     def clear(self) -> None:
@@ -107,7 +111,11 @@ class WordEncoder:
         column = pa.array([t.decode() for t in texts]) if isinstance(texts, list) else texts
         if not len(column):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column.cast(pa.string()), "")))
+        column = pc.fill_null(column.cast(pa.string()), "")
+        lowered = pc.ascii_lower(column)
+        if self.has_special:  # words of texts that may hold a special piece keep their case
+            lowered = pc.if_else(pc.match_substring(column, self.special), column, lowered)
+        parts = pc.ascii_split_whitespace(lowered)
         upto_words = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.cast(pa.binary()).to_pylist()
