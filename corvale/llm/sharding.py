@@ -4,12 +4,17 @@ Rows with equal texts form a group. Bytes, words (runs between white space, and
 single characters of scripts without spaces) and rows of a unit are its
 demand, as shares of one shard's fair capacity; units are placed from the
 largest on, each where the dot product of its demand with the shards' residual
-capacity is highest. Units are bounded in number: groups above ``1 / fine`` of
-a shard are units of their own (there are at most ``3 * fine * shards``),
-groups above a ``1 / coarse`` of one are cut into pieces of ``1 / (8 * coarse)``
-(one text may hold a third of all rows), and all smaller groups are hashed into
+capacity is highest. Equal demands are placed in the order of their hashes, and
+of shards with equal dot products the first one takes the unit.
+
+A group stays whole unless it is above a whole shard (one text may hold a third
+of all rows); then it is cut into as few pieces as fit. Units are bounded in
+number: groups above ``1 / fine`` of a shard are units of their own (there are
+at most ``3 * fine * shards``), and all smaller groups are hashed into
 ``fine * shards`` units, so the greedy placement costs the same at any size.
-Counting, hashing and numbering stay in Spark.
+Rows of a large group are counted and numbered in parts of about
+``1 / PARTS`` of a shard, so no task holds a group. Counting, hashing and
+numbering stay in Spark; no text of any length is held but in its row.
 
 Null texts count as no bytes and form one group; repeated rows count once
 each; an empty table gives no rows; other columns are ignored.
@@ -23,8 +28,10 @@ from pyspark.sql import functions as F
 
 from corvale.llm.common import materialize
 
-#: Bytes decide the law that sizes are near equal; words and rows are balanced along with them.
+#: Words and rows mostly grow with the bytes, so they need a light hand; bytes weigh most, as the law is near equal bytes.
 WEIGHTS = (6.0, 1.0, 1.0)
+#: Parts that a whole shard of one group's rows is counted and numbered in.
+PARTS = 64
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
 #: A token: a run between white space of any kind, or one character of a script written without spaces.
 TOKEN = rf"[{_UNSPACED}]|[^\s\p{{Z}}\x85{_UNSPACED}]++"
@@ -42,7 +49,17 @@ def place(demand: np.ndarray, shards: int, weights=WEIGHTS) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = 40, row_bytes: int = 16, fine: int = 256, coarse: int = 4) -> DataFrame:
+def pieces(loads: list[float]) -> list[int]:
+    """Deal the parts of a group above a whole shard to as few pieces as hold them, near equal: the largest part first, to the lightest piece."""
+    n = max(1, int(np.ceil(sum(loads) - 1e-9)))
+    held, out = np.zeros(n), [0] * len(loads)
+    for i in sorted(range(len(loads)), key=lambda i: (-loads[i], i)):
+        out[i] = int(held.argmin())
+        held[out[i]] += loads[i]
+    return out
+
+
+def shard(docs: DataFrame, shards: int = 40, row_bytes: int = 16, fine: int = 256) -> DataFrame:
     """Put ``docs`` (doc_id, text) into ``shards`` shards of near equal bytes."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -61,19 +78,32 @@ def shard(docs: DataFrame, shards: int = 40, row_bytes: int = 16, fine: int = 25
     fair = [max(total[x] or 0, 1) / shards for x in ("size", "words", "n")]
     load = F.greatest(*(F.col(x) / F.lit(f) for x, f in zip(("size", "words", "n"), fair, strict=True)))
     heavy = rows.groupBy("k1", "k2").agg(*sums).withColumn("load", load).where(F.col("load") > 1.0 / fine)
-    heavy = materialize(heavy.select("k1", "k2", F.when(F.col("load") > 1.0 / coarse, F.ceil(F.col("load") * coarse * 8)).otherwise(1).cast("int").alias("pieces")), "heavy")
+    heavy = materialize(heavy.select("k1", "k2", F.ceil(F.col("load") * PARTS).cast("int").alias("parts")), "heavy")
     light = F.pmod(F.col("k1"), F.lit(fine * shards))
+    # both broadcasts are bounded by the parameters: each dimension has at most fine * shards groups above 1 / fine of a shard
     rows = rows.join(F.broadcast(heavy), ["k1", "k2"], "left").select(
         "doc_id", "size", "words", "text_crc32", "rid",
-        F.when(F.col("pieces").isNull(), F.struct(light.alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).alias("c")))
-        .otherwise(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b"), F.pmod(F.xxhash64("rid"), F.col("pieces")).cast("int").alias("c"))).alias("unit"),
+        F.when(F.col("parts").isNull(), F.struct(light.alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).alias("c")))
+        .otherwise(F.struct(F.col("k1").alias("a"), F.col("k2").alias("b"), F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("c"))).alias("unit"),
     )
-    units = sorted(map(tuple, rows.groupBy("unit").agg(*sums).select("unit.*", "size", "words", "n").collect()))
-    chosen = place(np.array([u[3:] for u in units], float).reshape(-1, 3) / fair, shards).tolist()
+    counted = sorted(map(tuple, rows.groupBy("unit").agg(*sums).select("unit.*", "size", "words", "n").collect()))
+    demand = np.array([u[3:] for u in counted], float).reshape(-1, 3) / fair
+    # parts of a group are one unit again, or one for each piece of a group above a whole shard
+    groups: dict[tuple, list[int]] = {}
+    for i, u in enumerate(counted):
+        groups.setdefault(u[:2] if u[2] >= 0 else u[:3], []).append(i)
+    units: dict[tuple, list[int]] = {}
+    for key, own in groups.items():
+        whole = demand[own].sum(0)
+        piece = pieces((demand[own][:, whole.argmax()]).tolist()) if whole.max() > 1 else [0] * len(own)
+        for i, p in zip(own, piece, strict=True):
+            units.setdefault((*key, p), []).append(i)
+    chosen = place(np.array([demand[own].sum(0) for own in units.values()]).reshape(-1, 3), shards).tolist()
     filled, plan = [0] * shards, []
-    for u, s in zip(units, chosen, strict=True):
-        plan.append((u[:3], s, filled[s]))
-        filled[s] += u[5]
+    for own, s in zip(units.values(), chosen, strict=True):
+        for i in own:
+            plan.append((counted[i][:3], s, filled[s]))
+            filled[s] += counted[i][5]
     table = spark.createDataFrame(plan, "unit struct<a: bigint, b: bigint, c: int>, shard int, before long")
     met = rows.join(F.broadcast(table), "unit")
     number = F.row_number().over(Window.partitionBy("unit").orderBy("doc_id", "rid"))
