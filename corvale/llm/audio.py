@@ -5,7 +5,13 @@
 decodes ADPCM with numpy over all blocks of a batch at once, resamples to
 ``rate``, stores that PCM and gives features; ``decode`` gives the resampled PCM itself.
 
-Null and empty texts give one block of filling. Equal texts give equal values,
+Stored PCM is in a lossless code (``pack_pcm``): between the samples that a
+whole ratio of rates repeats from the source, the code holds what differs from
+their interpolation, and few distinct sample values are stored as a table and
+indices. ``unpack_pcm`` gives the samples back, whatever they are.
+
+Null and empty texts give one block of filling. A text of any length is worked
+on whole, at some 40 bytes of memory for each of its own. Equal texts give equal values,
 in whatever batch they lie. Repeated rows give a row each, an empty table none;
 other columns of the input are ignored.
 """
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import materialize, small_batches, text_bytes
+from corvale.llm.common import materialize, settled, small_batches, text_bytes, tidied
 
 MU_LAW, A_LAW, IMA = 7, 6, 0x11
 BLOCK, FILL = 576, 255
@@ -120,6 +126,44 @@ def resample(pcm: np.ndarray, source: int, target: int, taps: int = 8) -> np.nda
     return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
 
 
+def pack_pcm(pcm: np.ndarray, up: int = 1) -> bytes:
+    """A lossless code of 16-bit PCM at ``up`` times the rate of its source: kind, ratio, length; every ``up``-th sample; what the others differ by from the interpolation of those."""
+    base = np.ascontiguousarray(pcm[::up])
+    guess = resample(base, 1, up)[: len(pcm)]
+    rest = pcm - np.pad(guess, (0, len(pcm) - len(guess)))  # modulo 2**16
+    rest[::up] = 0
+    some = bool(rest.any())
+    # indices into the distinct values, found by marking them: sorting would cost more
+    seen = np.zeros(1 << 16, bool)
+    seen[base.view(np.uint16)] = True
+    values = np.flatnonzero(seen).astype("<u2")
+    head = struct.pack("<BBIH", (len(values) <= 256) + 2 * some, up, len(pcm), len(values) if len(values) <= 256 else 0)
+    if len(values) <= 256:
+        place = np.zeros(1 << 16, np.uint8)
+        place[values] = np.arange(len(values))
+        body = values.tobytes() + place[base.view(np.uint16)].tobytes()
+    else:
+        body = base.astype("<i2").tobytes()
+    return head + body + (rest.astype("<i2").tobytes() if some else b"")
+
+
+def unpack_pcm(raw: bytes) -> np.ndarray:
+    """The samples that ``pack_pcm`` was given."""
+    kind, up, n, values = struct.unpack_from("<BBIH", raw)
+    at, size = struct.calcsize("<BBIH"), -(-n // up)
+    if kind & 1:
+        table = np.frombuffer(raw, "<u2", values, at)
+        base = table[np.frombuffer(raw, np.uint8, size, at + 2 * values)].view(np.int16)
+        at += 2 * values + size
+    else:
+        base = np.frombuffer(raw, "<i2", size, at)
+        at += 2 * size
+    guess = resample(base, 1, up)[:n]
+    out = np.pad(guess, (0, n - len(guess)))
+    out[::up] = base
+    return out + np.frombuffer(raw, "<i2", n, at) if kind & 2 else out
+
+
 def to_wav(data: bytes, rate: int = 8000, codec: int = MU_LAW, block: int = 1) -> bytes:
     """A mono WAV file of ``data``: 8-bit samples, or 4-bit ADPCM in blocks of ``block`` bytes."""
     bits, samples = (4, len(data) // block * (1 + 2 * (block - 4))) if codec == IMA else (8, len(data))
@@ -163,8 +207,7 @@ def store(docs: DataFrame, rate: int = 8000) -> DataFrame:
             media = [to_wav(r + bytes([FILL]) * (-len(r) % BLOCK if r else BLOCK), rate) for r in raws]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    small_batches(docs.sparkSession, 256)
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_bytes long, media binary"), "media")
+    return materialize(small_batches(docs, 256).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def decode(media: DataFrame, rate: int = 16000) -> DataFrame:
@@ -182,8 +225,7 @@ def decode(media: DataFrame, rate: int = 16000) -> DataFrame:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "pcm"])
 
-    small_batches(media.sparkSession, 64)
-    return media.mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", pcm binary")
+    return small_batches(media, 64).mapInArrow(rows, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema) + ", pcm binary")
 
 
 def _energy(pcm: np.ndarray) -> int:
@@ -191,13 +233,16 @@ def _energy(pcm: np.ndarray) -> int:
     return int(np.dot(wide, wide))
 
 
-def describe(media: DataFrame, rate: int = 16000) -> DataFrame:
+DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def describe(media: DataFrame, rate: int = 16000, coded: bool = False) -> DataFrame:
     """Digests and features of stored files, from their bytes alone.
 
     ``feature`` has the energy of the samples as mu-law and as A-law, the sign
     changes, the energy of the data's blocks as ADPCM and the CRC of the PCM
-    resampled to ``rate``, which is written as little-endian 16-bit samples and
-    read back for it.
+    resampled to ``rate``, which is written as little-endian 16-bit samples, or
+    if ``coded`` in its lossless code, and read back (and expanded) for it.
     """
 
     def block_energies(datas: list[bytes]) -> list[int]:
@@ -221,7 +266,8 @@ def describe(media: DataFrame, rate: int = 16000) -> DataFrame:
                 a = np.frombuffer(data, np.uint8)
                 pcm = MU_TABLE[a]
                 flips = int(np.count_nonzero((a[1:] ^ a[:-1]) & 128))
-                heard = resample(pcm, own, rate).astype("<i2").tobytes()
+                heard = resample(pcm, own, rate)
+                heard = pack_pcm(heard, rate // own if rate % own == 0 else 1) if coded else heard.astype("<i2").tobytes()
                 feature = f"mu={_energy(pcm)};a={_energy(A_TABLE[a])};flips={flips};ima={ima}"
                 for c, v in zip(cols, (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, heard), strict=True):
                     c.append(v)
@@ -230,7 +276,12 @@ def describe(media: DataFrame, rate: int = 16000) -> DataFrame:
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"],
             )
 
-    small_batches(media.sparkSession, 64)
-    described = media.select("doc_id", "n_bytes", "media").mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
-    heard = F.lpad(F.lower(F.hex(F.crc32("pcm"))), 8, "0")
-    return materialize(described, "pcm", 16 << 20).withColumn("feature", F.concat("feature", F.lit(f";pcm{rate}="), heard)).drop("pcm")
+    described = small_batches(media, 64).select("doc_id", "n_bytes", "media").mapInArrow(rows, DESCRIBED + ", pcm binary")
+    @tidied
+    def heard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [f"{f};pcm{rate}={zlib.crc32(unpack_pcm(p).astype('<i2').tobytes() if coded else p):08x}" for f, p in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(marks, pa.string())], batch.schema.names[:8])
+
+    stored = small_batches(materialize(described, "pcm", 16 << 20), 64)
+    return settled(stored.mapInArrow(heard, DESCRIBED), media.sparkSession, "audio")

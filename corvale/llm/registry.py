@@ -42,6 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary file on offer has ranks and no probabilities, so the unigram scores of its pieces are counted in the training documents."""
     return lattice.score(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), folds=7, fold=2)
 
 
@@ -54,7 +55,7 @@ def op8_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.describe(audio.store(table(spark, sf_dir, "documents")))
+    return audio.describe(audio.store(table(spark, sf_dir, "documents")), coded=True)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
