@@ -33,18 +33,55 @@ def ship(spark: SparkSession) -> None:
     context._corvale_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def over(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """``df`` as a DataFrame of another session of the same application."""
+    dataset = spark.sparkContext._jvm.org.apache.spark.sql.classic.Dataset
+    return DataFrame(dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark)
+
+
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """``df`` in a copy of its session whose Arrow batches have at most ``rows`` rows; the caller's own settings stay as they are."""
+    spark = df.sparkSession
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return over(df, own)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The shared folder of spark.checkpoint.dir. In local mode a temporary folder does where the session names none; on a cluster that is an error."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="corvale-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvale-checkpoint-"))
-    return (named or context.getCheckpointDir()).rstrip("/")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def written_paths(spark: SparkSession) -> list[str]:
+    """Folders that the operators of this application have written for intermediate results, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_corvale_written"):
+        context._corvale_written = []
+    return context._corvale_written
+
+
+def clean_up(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Delete the intermediate results from number ``since`` on, but those that ``keep`` reads; how many went.
+
+    Results that aren't written yet still read theirs: call it when they are.
+    """
+    paths = written_paths(spark)
+    files = [] if keep is None else keep.inputFiles()
+    gone = [p for p in paths[since:] if not any(p in f for f in files)]
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        paths.remove(p)
+    return len(gone)
 
 
 def materialize(df: DataFrame, label: str, row_group: int = 128 << 20) -> DataFrame:
@@ -56,10 +93,16 @@ def materialize(df: DataFrame, label: str, row_group: int = 128 << 20) -> DataFr
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/corvale-{label}-{uuid.uuid4().hex}"
+    written_paths(spark).append(path)
     df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
+    """A small result, written once, as a DataFrame of the caller's session ``spark``."""
+    return over(materialize(df, label), spark)
+
+
 def repeatable(df: DataFrame, label: str) -> DataFrame:
     """``df`` itself if it only scans files (its rows come in the same order when read again), else a written copy."""
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -68,6 +111,15 @@ def repeatable(df: DataFrame, label: str) -> DataFrame:
     return df
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``ids`` (doc_id, distinct; null equals null), whatever other columns are called."""
+    name = "gone_id"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    gone = ids.select(F.col("doc_id").alias(name))
+    return docs.join(F.broadcast(gone) if fits_broadcast(ids, 32) else gone, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
+
+
 def fits_broadcast(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the counted rows of a cheap (materialized) side stay under the broadcast bound."""
     return df.limit(limit // bytes_per_row + 1).count() * bytes_per_row <= limit

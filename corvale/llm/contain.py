@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, materialize
+from corvale.llm.common import fits_broadcast, materialize, without_ids
 
 #: Partition by number of shingles: below this bound -> (signature size, matches asked for). At a
 #: containment of 0.8 the chance to have fewer matches is below 3e-5 in each.
@@ -85,6 +85,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 4, d
     """
     found = candidates(docs, items, width, num, den)
     ids = found.select("doc_id").distinct().withColumnRenamed("doc_id", "own_id")
+    docs = docs.select("doc_id", "text")
     docs = docs.join(F.broadcast(ids) if fits_broadcast(found, 32) else ids, docs["doc_id"].eqNullSafe(ids["own_id"]), "left_semi")
     texts = with_words(docs, "doc_id").select("doc_id", strings(F.col("w"), width).alias("own"))
     asked = with_words(items, "item_id").select("item_id", strings(F.col("w"), width).alias("asked")).where(F.size("asked") > 0).distinct()
@@ -100,8 +101,7 @@ def contained(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 4, d
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of ``docs`` in which no item is contained, all columns as they were."""
-    bad = materialize(contained(docs, items, width, num, den).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(F.broadcast(bad) if fits_broadcast(bad, 32) else bad, docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    return without_ids(docs, materialize(contained(docs, items, width, num, den).select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "contaminated"))
 
 
 def containment_sql(width: int = 5, num: int = 4, den: int = 5) -> str:

@@ -107,13 +107,11 @@ def packed(docs: DataFrame, size: int = CHUNK_BYTES, carry: bool = False) -> Dat
         if ids:
             yield full()
 
-    small_batches(docs.sparkSession)
-    source = repeatable(docs, "texts")
+    source = small_batches(repeatable(docs, "texts"))
     extra = [F.col("text").isNull(), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))] if carry else []
     extra = [c.alias(f"c{i}") for i, c in enumerate(extra)]
     out = materialize(source.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInArrow(rows, "chunk long, n_bytes long, blob binary" + ", rest binary" * carry), "chunks")
-    small_batches(docs.sparkSession, 1)  # a row is a whole chunk
-    return out
+    return small_batches(out, 1)  # a row is a whole chunk
 
 
 def total_bytes(chunks: DataFrame) -> int:

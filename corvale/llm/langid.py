@@ -7,24 +7,27 @@ time on a bounded sample of labelled rows (``per_lang`` crops for each label,
 chosen by a hash of doc_id), with fixed seeds, so a run is repeatable.
 
 Null texts and texts without a letter are ``und`` with score 0. With no
-labelled rows all documents are ``und``. Repeated rows get equal results, an
-empty table gives no rows, other columns are ignored.
+labelled rows all documents are ``und``. Of labels with equal pooled sums the
+first by name wins. A text of any length is read in blocks of windows, so only
+the text itself is held. Repeated rows get equal results, an empty table gives
+no rows, other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvale.llm.common import small_batches, tidied
+from corvale.llm.common import settled, small_batches, tidied
 
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter, as in the choice of the rows to learn from; numbers such as a half or a square are none.
+_LETTER = regex.compile(r"\p{L}")
 _PAD = 0
 
 
@@ -33,16 +36,19 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds)) == 0
 
 
-def sample(docs: DataFrame, per_lang: int, chars: int) -> list[tuple[str, str]]:
+def sample(docs: DataFrame, per_lang: int, chars: int, most_langs: int = 500) -> list[tuple[str, str]]:
     """At most ``per_lang`` crops of ``chars`` characters for each label, from rows that aren't held out: the first by a hash of doc_id.
 
+    Labels are learnt if they are among the ``most_langs`` with the most rows
+    (ties by name), so a column of dirty labels stays bounded on the driver.
+
     Of a label with many rows only those below a hash that about four times as
     many stay under are looked at, so the ranking never meets all rows of one.
     """
     space = 1 << 40
     h = F.pmod(F.xxhash64("doc_id"), F.lit(space))
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("lang", F.col("lang").cast("string"))
-    counts = [(r["lang"], min(space, space * 4 * per_lang // r["n"])) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per label
+    counts = [(r["lang"], min(space, space * 4 * per_lang // r["n"])) for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
     if not counts:
         return []
     below = docs.sparkSession.createDataFrame(counts, "lang string, below long")
@@ -164,9 +170,9 @@ def windows(raw: bytes, size: int) -> np.ndarray:
     return out.reshape(-1, size)
 
 
-def fit(docs: DataFrame, per_lang: int = 300, chars: int = 600, hidden: int = 8, window: int = 64, steps: int = 500) -> Network | None:
+def fit(docs: DataFrame, per_lang: int = 300, chars: int = 600, most_langs: int = 500, hidden: int = 8, window: int = 64, steps: int = 500) -> Network | None:
     """Train on a sample of at most ``per_lang`` rows for each label; None without labelled rows."""
-    rows = sample(docs, per_lang, chars)
+    rows = sample(docs, per_lang, chars, most_langs)
     labels = sorted({lang for lang, _ in rows})
     if not rows:
         return None
@@ -225,14 +231,13 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             names, scores = predict_batch(net, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **params) -> DataFrame:
     """Fit on the rows that aren't held out and label all: doc_id, held_out, lang_pred, score."""
     net = fit(docs, **params)
-    return predict(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return settled(predict(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"), docs.sparkSession, "languages")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, **params) -> DataFrame:
@@ -254,5 +259,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5, **params) -> DataFrame:
             names, scores = predict_batch(net, texts)
             yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, scores, strict=True)]))
 
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(rows, docs.schema)
+    return small_batches(docs).mapInArrow(rows, docs.schema)

@@ -11,7 +11,9 @@ and of the end's. Each distinct word is scored once in the whole corpus.
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; null texts are empty and
 have the end alone. A row counts as held out by its doc_id (null: as empty
 text). Repeated rows count and are scored each. With no training rows all
-counts are 0. An empty table gives no rows; other columns are ignored.
+counts are 0. Equal texts have equal scores, wherever they lie; a text of any
+length is scored whole, word by word. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import grouped, materialize, tidied, word_hashes
+from corvale.llm.common import grouped, materialize, settled, tidied, word_hashes
 from corvale.llm.exchange import BUCKET_BYTES, answer, expand, meet, messages, packed, receive, send, squeeze, texts_of, total_bytes
 
 SPACE_MARK = "▁"
@@ -135,6 +137,15 @@ def _distinct(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(index), np.fromiter(map(index.__getitem__, words), np.int64, len(words)), np.array(counts, np.int64)
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each text's own values (``counts`` of them), so that it depends on nothing but that text."""
+    out = np.zeros(len(counts))
+    full = np.flatnonzero(counts)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full])
+    return out
+
+
 def _bucket_of(words: list[bytes], buckets: int) -> np.ndarray:
     return (word_hashes([b" ".join(words)])[0] >> np.uint64(20)) % np.uint64(buckets) if words else np.zeros(0, np.uint64)
 
@@ -225,8 +236,7 @@ def score(docs: DataFrame, vocabulary: str, folds: int = 7, fold: int = 2) -> Da
                 got = {a["bucket"]: a["message"] for a in answers or []}
                 for k, own in _by_bucket(words, buckets):
                     total[own], marginal[own] = expand(got[k])
-                upto = np.r_[0, np.cumsum(n)]
-                part = [np.diff(np.r_[0.0, np.cumsum(v[at])][upto]) for v in (np.log10((total + 1) / floor), marginal, (total > 0).astype(float))]
+                part = [_sums(v[at], n) for v in (np.log10((total + 1) / floor), marginal, (total > 0).astype(float))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()), pa.array([held_out(i, folds, fold) for i in ids]), pa.array(n + 1), pa.array(np.rint(part[2]).astype(np.int64) + (1 if ends else 0)),
@@ -236,4 +246,4 @@ def score(docs: DataFrame, vocabulary: str, folds: int = 7, fold: int = 2) -> Da
                 )
 
     met = receive(chunks, answer(sent, buckets, reply))
-    return met.mapInArrow(results, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return settled(met.mapInArrow(results, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), spark, "scores")

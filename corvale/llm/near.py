@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, grouped, materialize, mix64, shingle_hashes, small_batches, text_bytes, tidied
+from corvale.llm.common import fits_broadcast, grouped, materialize, mix64, shingle_hashes, small_batches, text_bytes, tidied, without_ids
 
 SIZE = 64
 BLOCK = 512
@@ -78,8 +78,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
                 ["doc_id", "n_shingles", "key", "signature"],
             )
 
-    small_batches(docs.sparkSession)
-    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_shingles long, key binary, signature binary"), "signatures")
+    return materialize(small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_shingles long, key binary, signature binary"), "signatures")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +182,7 @@ def links(docs: DataFrame, sigs: DataFrame, width: int, num: int, den: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     keys = [F.col(c) for c in ("token", "x", "y")]
-    small_batches(docs.sparkSession, 1024)
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(rows, "a long, b long").distinct()
+    return small_batches(dealt, 1024).repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(rows, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,5 +225,4 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) ->
     Rows that repeat a doc_id are one document and stay or go together; rows without a doc_id stay.
     """
     marked = near_duplicates(docs, width, num, den).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = materialize(marked.select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone, 32) else gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    return without_ids(docs, materialize(marked.select("doc_id").distinct(), "gone"))

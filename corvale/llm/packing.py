@@ -50,8 +50,7 @@ def id_batches(tokenizer: str, end_id: int, cache: int = CACHE):
 
 
 def id_texts(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession)
-    return repeatable(docs, "texts").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return small_batches(repeatable(docs, "texts")).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

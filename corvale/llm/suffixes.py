@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import mix64, tidied
+from corvale.llm.common import mix64, settled, tidied
 from corvale.llm.exchange import MESSAGE, answer, expand, packed, receive, rest_of, send, squeeze, texts_of, total_bytes
 
 #: A perfect difference set: each difference modulo PERIOD occurs once.
@@ -382,7 +382,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    return removed(docs, length).mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return settled(removed(docs, length).mapInArrow(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), docs.sparkSession, "digests")
 
 
 def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:

@@ -394,8 +394,7 @@ def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> D
     refs = join_bounded(own.where("length(html) > 0"), chosen, (F.xxhash64("html") == F.col("ref_mark")) & (F.col("host") == F.col("ref_host")), "inner", 64)
     refs = materialize(refs.groupBy("host").agg(F.min("html").alias("reference")), "references")
     length = refs.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
-    small_batches(pages.sparkSession, 256)
-    met = own.join(F.broadcast(refs) if length < 16 << 20 else refs, "host", "left").select("page_id", "url", "host", "html", "reference")
+    met = small_batches(own, 256).join(F.broadcast(refs) if length < 16 << 20 else refs, "host", "left").select("page_id", "url", "host", "html", "reference")
     blocks = materialize(met.mapInArrow(_blocks, "page_id long, url string, host string, digest long, nodes array<int>, texts array<string>, same array<boolean>"), "blocks")
     weights, totals = _weights(blocks)
     votes = blocks.select("host", "digest", F.explode(F.arrays_zip("nodes", "same")).alias("v")).where("v.nodes >= 0")
