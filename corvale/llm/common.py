@@ -130,6 +130,25 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str, bytes_per_row:
     return big.join(F.broadcast(small) if fits_broadcast(small, bytes_per_row) else small, on, how)
 
 
+def join_spread(big: DataFrame, small: DataFrame, on: list[str], by: str, bytes_per_row: int, how: str = "left") -> DataFrame:
+    """Join in which a key may have any share of ``big``; ``small`` has one row a key.
+
+    It is a broadcast where the small side is checked to be bounded. Else the
+    rows of keys that fill more than half of a fair partition are dealt over
+    parts by a hash of ``by``, and those keys' rows of ``small`` go to each
+    part. There are at most two such keys a partition, so they are few.
+    """
+    if fits_broadcast(small, bytes_per_row):
+        return big.join(F.broadcast(small), on, how)
+    fair = max(1, big.count() // (2 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("parts__")).where(F.col("parts__") > fair)
+    hot = materialize(counts.select(*on, F.ceil(F.col("parts__") / fair).cast("int").alias("parts__")), "hot-keys")
+    parts = F.coalesce("parts__", F.lit(1))
+    dealt = big.join(F.broadcast(hot), on, "left").withColumn("part__", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts__")
+    copies = small.join(F.broadcast(hot), on, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts__")
+    return dealt.join(copies, [*on, "part__"], how).drop("part__")
+
+
 def tidy() -> None:
     """Give memory that Arrow and the C library hold back to the system; workers live on and share an executor."""
     import ctypes

@@ -1,26 +1,38 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-One page of each host is its reference, the one nearest to the median length of
-those that aren't empty, so each host with any html has one; every page's DOM
-tree is aligned with the reference's by simple tree matching (the largest
-matching of children in order, over equal labels). A reference node whose text
-is the same in nearly all different pages of the host belongs to the template;
-nodes with varying text, or with no partner, are slots for content. Elements
-that by tag, role or class are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts or comments are never content, whether they vary or
-not; words and forms don't take out a wrapper of the main container, nor a
-section of an article that has its topic as id. All containers of the best
-kind are content; in pages without any, lists that are mostly links are not.
-
-Pages are read once: parsing and alignment are map-side and write blocks of
-text with the reference node each is aligned with; counting over a host and
-the final choice are joins of those. Hosts of any size are split over tasks.
+Each page is parsed once, where it lies, to the skeleton of its DOM (labels and
+parents of elements) and its blocks of text. One page of each host is its
+reference, the one nearest to the median length, so each host with any text has
+one. Skeletons, never the html, meet the reference's; simple tree matching
+(the largest matching of children in order, over equal labels) aligns them.
+
+*Template.* A reference node whose text is the same in nearly all different
+pages of the host is template, and goes wherever it is.
+
+*Slots.* What varies is content. The host's wrapper is the deepest reference
+node that holds nearly all varying text outside links, found by descent from
+the root while one child has most of it and beside that child no paragraph,
+heading, article or element of the same classes varies. Text outside it (varying notices, adverts, related pages) is
+no content; inside it only what the markup says to be a menu, sidebar, advert,
+form or reader comment goes, and, unless it is an article, lists of links.
+
+*Few pages.* Hosts with too few different pages to vote, and pages that don't
+fit their host's wrapper (it has less than half of the text that their own
+markup marks as main), are settled by markup: all containers of the best kind
+(article, main, content classes) are content.
+
+Hosts of any size are split over tasks: the join with references and decisions
+is broadcast if small, else hot hosts are salted. Only numbers meet by host.
 
 Null and empty html give empty text; a null or odd url is a host of its own
 name (the empty one). Copies of a page count once in the votes, and so
 do the pages of a group of near copies (half of the text or more in blocks
-that they share), so what only they have in common stays. Repeated rows
-give a row each, an empty table none; other columns are ignored.
+that they share), so what only they have in common stays. Of equally near
+reference pages the one with the least hash is taken, of equal children the
+first; of equal matchings the one of later siblings. A long page takes memory
+for its own skeleton and text, matching costs children times children of
+aligned nodes, by distinct shapes. Repeated rows give a row each, an empty
+table none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +44,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, join_bounded, materialize, small_batches
+from corvale.llm.common import join_bounded, join_spread, materialize, over, small_batches, tidied
 
 #: A reference node is template if this share of the host's different pages, and at least so many, have its text.
 SHARE, SUPPORT = 0.8, 5
@@ -59,11 +73,19 @@ OUT_WORDS = frozenset(
 )
 MAIN_WORDS = frozenset("article post entry story content main".split())
 COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus".split())
-#: Words beside one of ``OUT_WORDS`` that say what a layout has, not what an element is.
-STATE_WORDS = frozenset("has have no not with without".split())
+#: Words beside one of ``OUT_WORDS`` that say nothing on what an element is: "ad-box" is an advert, "related-work" needn't be a list of links.
+NEUTRAL_WORDS = frozenset(
+    "area article articles b bar block body bottom box button buttons card cards col column container content desktop fixed float form full global grid group header icon icons inner item items js large left link links list main mobile outer page panel post posts primary right row secondary section site slot small sticky title top unit wrap wrapper x".split()
+)
+#: Words that take out a paragraph or a part of a line too; of the others an article may have some that are about its topic.
+STRONG_WORDS = frozenset("ad ads adv advert adverts advertisement adsense cookie cookies gdpr newsletter sponsored".split())
 #: Words that as an id inside a main container may name a section of the article.
 TOPIC_WORDS = frozenset("advertisement advertising banner consent cookies discussion navigation notice notices notification promotion recommendations recommended related search sharing sponsor subscription".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are text in their own right.
+PROSE = HEADINGS | frozenset("p blockquote pre li dt dd td th figcaption".split())
+#: Share of a node's varying text that its child must have to hold the wrapper.
+DEEPER = 0.75
 
 
 class Page:
@@ -91,42 +113,43 @@ class Page:
             self._parts, self._linked = [], 0
 
     def _add(self, tag: str, attributes: str, parent: int) -> int:
-        role, words, names, tokens, hidden = "", set(), set(), [], False
+        role, tokens, of_class, hidden = "", [], set(), False
         if attributes and not attributes.isspace():
             for m in _ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
                 if name in ("class", "id"):
-                    split = re.split(r"[^a-z]+", value)
-                    words.update(split)
-                    tokens += value.split()
+                    own = [frozenset(re.split(r"[^a-z]+", t)) - {""} for t in value.split()]
+                    tokens += own
                     if name == "class":
-                        names.update(split)
+                        of_class.update(*own)
                 elif name == "role":
                     role = value
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                     hidden = True
+        words = frozenset().union(*tokens)
         number = len(self.tags)
         inside = self.main[parent]
-        marked = tag not in ("html", "body", "article", "main") and bool(words & OUT_WORDS)
+        telling = [t for t in tokens if t & OUT_WORDS and t <= OUT_WORDS | NEUTRAL_WORDS]
+        if inside and (tag in PROSE or tag in INLINE):
+            telling = [t for t in telling if t & STRONG_WORDS]
+        marked = bool(telling) and tag not in ("html", "body", "article", "main")
         out = self.out[parent] or hidden or tag in OUT_TAGS or role in OUT_ROLES or tag == "article" and bool(words & {"comment", "comments", "reply"})
         out = out or tag == "header" and not inside or marked and tag in INLINE
-        topic = marked and bool(inside) and not names & OUT_WORDS and words & OUT_WORDS <= TOPIC_WORDS
-        if topic and tag in HEADINGS:
-            marked = False
+        topic = marked and bool(inside) and not of_class & OUT_WORDS and words & OUT_WORDS <= TOPIC_WORDS
         if not out and (marked or tag == "form" or role == "form"):
-            plain = any(not OUT_WORDS.intersection(re.split(r"[^a-z]+", t)) for t in tokens)
-            self._soft[number] = (not marked or plain or bool(words & STATE_WORDS), topic and tag == "section")
+            plain = any(not t & OUT_WORDS for t in tokens)
+            self._soft[number] = (not marked or plain, topic and tag == "section")
             if words & COMMENT_WORDS:
                 self._comments.add(number)
         self.tags.append(tag)
-        self.labels.append(tag + "." + " ".join(sorted(w for w in words if w)) if words else tag)
+        self.labels.append(tag + "." + " ".join(sorted(words)) if words else tag)
         self.parents.append(parent)
         self.children.append([])
         self.children[parent].append(number)
         self.out.append(out)
         rank = 3 if tag == "article" else 2 if tag == "main" or role == "main" else 1 if words & MAIN_WORDS and tag in ("div", "section", "td") else 0
         self.main.append(max(inside, rank))
-        if rank and not out and not words & COMMENT_WORDS and (rank > 1 or not marked or any(MAIN_WORDS & (own := set(re.split(r"[^a-z]+", t))) and not own & OUT_WORDS for t in tokens)):
+        if rank and not out and not words & COMMENT_WORDS and (rank > 1 or not marked or any(t & MAIN_WORDS and not t & OUT_WORDS for t in tokens)):
             self._boxes.append(number)
         return number
 
@@ -220,17 +243,17 @@ class Page:
                     block = parents[block]
         self._flush(block)
 
-    def content(self) -> list[tuple[int, str]]:
-        """Blocks of all containers of the best kind that has half of the text in containers, of the whole page if there is none."""
+    def choice(self) -> list[bool]:
+        """Which blocks are content by the page's own markup: those in all containers of the best kind that has half of the text in containers, or of the whole page if there is none."""
         held = [0] * 4
         for e, text, _ in self.blocks:
             for rank in range(1, self.main[e] + 1):
                 held[rank] += len(text)
         if held[1]:
             least = max(rank for rank in (1, 2, 3) if 2 * held[rank] >= held[1])
-            return [(e, t) for e, t, _ in self.blocks if self.main[e] >= least]
+            return [self.main[e] >= least for e, _, _ in self.blocks]
         if all(linked <= 0.6 for _, _, linked in self.blocks):
-            return [(e, t) for e, t, _ in self.blocks]
+            return [True] * len(self.blocks)
         whole, links = [0] * len(self.tags), [0.0] * len(self.tags)
         for e, text, linked in self.blocks:
             whole[e] += len(text)
@@ -238,9 +261,23 @@ class Page:
         for e in range(len(self.tags) - 1, 0, -1):
             whole[self.parents[e]] += whole[e]
             links[self.parents[e]] += links[e]
-        # a paragraph or heading that is a link stays if what is around it isn't links
+        # a paragraph or heading that is a link stays, unless it stands among other links
         among = [tag in HEADINGS or tag in ("p", "blockquote") for tag in self.tags]
-        return [(e, t) for e, t, linked in self.blocks if linked <= 0.6 or among[e] and links[up := self.parents[e]] <= 0.6 * whole[up]]
+        return [linked <= 0.6 or among[e] and links[up := self.parents[e]] <= 0.6 * whole[up] for e, _, linked in self.blocks]
+
+    def content(self) -> list[tuple[int, str]]:
+        return [(e, t) for (e, t, _), own in zip(self.blocks, self.choice(), strict=True) if own]
+
+
+class Skeleton:
+    """Labels and order of a page's elements, as numbers."""
+
+    def __init__(self, labels: list[int], parents: list[int]):
+        self.labels, self.parents = labels, parents
+        self.tags = labels
+        self.children: list[list[int]] = [[] for _ in labels]
+        for e in range(1, len(labels)):
+            self.children[parents[e]].append(e)
 
 
 class Matcher:
@@ -258,7 +295,7 @@ class Matcher:
         if len(self.kids) > self.most:
             self.__init__(self.most)
 
-    def shape(self, page: Page) -> list[int]:
+    def shape(self, page: Page | Skeleton) -> list[int]:
         """A number for the shape (labels and order) of each element's subtree; it holds until ``make_room`` is called."""
         out = [0] * len(page.tags)
         for e in range(len(page.tags) - 1, -1, -1):
@@ -293,7 +330,7 @@ class Matcher:
             np.maximum.accumulate(m[i], out=m[i])
         return m
 
-    def align(self, page: Page, shapes: list[int], ref: Page, ref_shapes: list[int]) -> list[int]:
+    def align(self, page: Page | Skeleton, shapes: list[int], ref: Page | Skeleton, ref_shapes: list[int]) -> list[int]:
         """For each element of ``page`` its partner in ``ref``, or -1."""
         out = [-1] * len(page.tags)
         todo = [(0, 0)]
@@ -326,38 +363,86 @@ class Matcher:
         return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, host, html, reference) to blocks of text with their reference nodes."""
-    matcher = Matcher(most)
-    refs: dict[str, tuple[Page, dict[int, str]]] = {}
+TREE = (
+    "rid long, page_id long, url string, host string, digest long, labels array<int>, parents array<int>, kinds array<byte>, "
+    "nodes array<int>, texts array<string>, marks array<long>, sizes array<int>, links array<int>, own array<boolean>"
+)
+#: What an element is for the wrapper: text in its own right, a list or box that may hold links alone, a container that is content by name, of a class or id.
+IS_PROSE, IS_BOX, IS_MAIN, IS_NAMED = 1, 2, 4, 8
+BOXES = frozenset("ul ol dl div section table tbody tr details fieldset".split())
+
+
+def _mark(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+def _label(label: str) -> int:
+    return zlib.crc32(label.encode()) - (1 << 31)
+
+
+@tidied
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, url, host, html) to skeletons and blocks; ``own`` says which blocks are content by the page's markup."""
+    types = [f.split()[1] for f in TREE.split(", ")]
+    simple = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "byte": pa.int8(), "boolean": pa.bool_()}
+    kinds = [pa.list_(simple[t[6:-1]]) if t.startswith("array") else simple[t] for t in types]
+    rid = TaskContext.get().partitionId() << 33
     for batch in batches:
-        page_ids, urls, hosts, sources, references = (c.to_pylist() for c in batch.columns)
-        nodes, texts, same, digests = [], [], [], []
-        for host, source, reference in zip(hosts, sources, references, strict=True):
+        rows = []
+        for page_id, url, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             page = Page(source or "")
-            content = page.content()
-            partner: list[int] = []
-            if reference is not None and content:
-                if host not in refs:
-                    if len(refs) > 2000:
-                        refs.clear()
-                    ref = Page(reference)
-                    own: dict[int, str] = {}
-                    for e, t, _ in ref.blocks:
-                        own[e] = f"{own[e]} {t}" if e in own else t
-                    refs[host] = ref, own
-                ref, own = refs[host]
-                matcher.make_room()
-                shapes = matcher.shape(page)
-                partner = matcher.align(page, shapes, ref, matcher.shape(ref))
-            nodes.append([partner[e] if partner else -1 for e, _ in content])
-            texts.append([t for _, t in content])
-            same.append([bool(partner) and refs[host][1].get(partner[e]) == t for e, t in content])
-            digests.append(zlib.crc32("\n".join(texts[-1]).encode()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(urls, pa.string()), pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(nodes, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string())), pa.array(same, pa.list_(pa.bool_()))],
-            ["page_id", "url", "host", "digest", "nodes", "texts", "same"],
-        )
+            texts = [t for _, t, _ in page.blocks]
+            marks = [_mark(t) for t in texts]
+            kind = [IS_PROSE * (t in PROSE) | IS_BOX * (t in BOXES) | IS_MAIN * (t in ("article", "main")) | IS_NAMED * (t != x) for t, x in zip(page.tags, page.labels, strict=True)]
+            rows.append(
+                (rid, page_id, url, host, _mark("\n".join(texts)), [_label(x) for x in page.labels], page.parents, kind, [e for e, _, _ in page.blocks],
+                 texts, marks, [len(t) for t in texts], [min(len(t), round(share * len(t))) for _, t, share in page.blocks], page.choice())
+            )
+            rid += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in TREE.split(", ")])
+
+
+def _texts_of(nodes: list[int], marks: list[int]) -> dict[int, int]:
+    """One number for all the text that an element has of its own."""
+    out: dict[int, int] = {}
+    for e, m in zip(nodes, marks, strict=True):
+        out[e] = hash((out[e], m)) if e in out else m
+    return out
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Skeletons with their reference's to: for each block the reference node that is its element's partner (or -1) or its nearest partnered ancestor's, and whether the text is the same there."""
+    matcher = Matcher(most)
+    refs: dict[str, tuple[Skeleton, dict[int, int]]] = {}
+    for batch in batches:
+        at, under, same = [], [], []
+        c = {name: batch.column(name).to_pylist() for name in ("host", "labels", "parents", "nodes", "marks", "ref_labels", "ref_parents", "ref_nodes", "ref_marks")}
+        for host, labels, parents, nodes, marks, *ref in zip(*c.values(), strict=True):
+            if ref[0] is None or not nodes:
+                at.append([-1] * len(nodes))
+                under.append([0] * len(nodes))
+                same.append([False] * len(nodes))
+                continue
+            if host not in refs:
+                if len(refs) > 2000:
+                    refs.clear()
+                refs[host] = Skeleton(ref[0], ref[1]), _texts_of(ref[2], ref[3])
+            page, (known, texts) = Skeleton(labels, parents), refs[host]
+            matcher.make_room()
+            shapes = matcher.shape(page)
+            partner = matcher.align(page, shapes, known, matcher.shape(known))
+            near = partner.copy()
+            for e in range(1, len(near)):
+                if near[e] < 0:
+                    near[e] = near[parents[e]]
+            mine = _texts_of(nodes, marks)
+            at.append([partner[e] for e in nodes])
+            under.append([near[e] for e in nodes])
+            same.append([partner[e] >= 0 and texts.get(partner[e]) == mine[e] for e in nodes])
+        cols = [pa.array(at, pa.list_(pa.int32())), pa.array(under, pa.list_(pa.int32())), pa.array(same, pa.list_(pa.bool_()))]
+        keep = ["rid", "host", "digest", "sizes", "links", "marks", "own"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *cols], [*keep, "at", "under", "same"])
 
 
 def _weights(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -368,10 +453,10 @@ def _weights(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     The pages of a group of near copies thus have about one vote together,
     while boilerplate of less than half of a page doesn't lower its weight.
     """
-    each = blocks.select("host", "digest", F.explode("texts").alias("t")).select("host", "digest", F.xxhash64("t").alias("mark"), F.length("t").cast("long").alias("n"))
+    each = blocks.select("host", "digest", F.explode(F.arrays_zip("marks", "sizes")).alias("b")).select("host", "digest", F.col("b.marks").alias("mark"), F.col("b.sizes").cast("long").alias("n"))
     own = materialize(each.groupBy("host", "digest", "mark").agg(F.max("n").alias("n")), "marks")
     shared = materialize(own.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared-marks")
-    counts = join_bounded(own, shared, ["host", "mark"], "left", 64).select("host", "digest", F.coalesce("c", F.lit(1)).cast("long").alias("c"), "n")
+    counts = join_spread(own, shared, ["host", "mark"], "digest", 64).select("host", "digest", F.coalesce("c", F.lit(1)).cast("long").alias("c"), "n")
     sums = counts.groupBy("host", "digest", "c").agg(F.sum("n").alias("n")).groupBy("host", "digest").agg(F.sort_array(F.collect_list(F.struct("c", "n"))).alias("parts"), F.sum("n").alias("size"))
     half = F.aggregate(
         "parts", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("c")),
@@ -382,29 +467,96 @@ def _weights(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return weights, materialize(weights.groupBy("host").agg(F.sum("weight").alias("total")), "totals")
 
 
-def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """page_id, url, text and n_chars of ``pages`` (page_id, url, html)."""
+def wrapper_of(labels: list[int], parents: list[int], kinds: list[int], prose: list[float], links: list[float]) -> list[bool]:
+    """Which reference nodes are open: in the wrapper, and not in a list of links.
+
+    ``prose`` and ``links`` are the varying characters outside and inside links
+    that hang on each node in all pages of the host.
+    """
+    n = len(parents)
+    held, linked = list(prose), list(links)
+    children: list[list[int]] = [[] for _ in parents]
+    for e in range(n - 1, 0, -1):
+        held[parents[e]] += held[e]
+        linked[parents[e]] += linked[e]
+        children[parents[e]].append(e)
+    top = 0
+    while not kinds[top] & IS_MAIN and children[top]:
+        child = max(children[top], key=lambda e: (held[e], -e))
+        alike = [e for e in children[top] if e != child and held[e] > 0]
+        beside = any(kinds[e] & (IS_PROSE | IS_MAIN) or kinds[e] & IS_NAMED and labels[e] == labels[child] for e in alike)
+        if not held[child] or held[child] < DEEPER * held[top] or beside or kinds[child] & IS_PROSE or prose[top] > (1 - DEEPER) / 5 * held[top]:
+            break
+        top = child
+    up, article = top, False
+    while up >= 0:
+        article, up = article or bool(kinds[up] & IS_MAIN), parents[up]
+    is_open, menu = [False] * n, [False] * n
+    for e in range(n):
+        menu[e] = e > 0 and menu[parents[e]] or e != top and bool(kinds[e] & IS_BOX) and linked[e] > 0.6 * (held[e] + linked[e])
+        is_open[e] = (e == top or e > 0 and is_open[parents[e]]) and (article or not menu[e])
+    return is_open
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a host: its reference's skeleton and the varying text on its nodes, to the open nodes."""
+    for batch in batches:
+        out = []
+        for labels, parents, kinds, mass in zip(*(batch.column(c).to_pylist() for c in ("ref_labels", "ref_parents", "ref_kinds", "mass")), strict=True):
+            prose, links = [0.0] * len(parents), [0.0] * len(parents)
+            for m in mass:
+                prose[m["node"]], links[m["node"]] = m["prose"], m["links"]
+            out.append([e for e, yes in enumerate(wrapper_of(labels, parents, kinds, prose, links)) if yes])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.int32()))], ["host", "open"])
+
+
+def extract(pages: DataFrame, share: float = SHARE, support: int = SUPPORT, align: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of ``pages`` (page_id, url, html); without ``align`` markup alone decides."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), r"^[a-zA-Z][-+.a-zA-Z0-9]*://([^/?#]*)", 1), F.lit("")))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
-    # the reference: the page nearest to the median length of the host's pages that have any html, ties by a hash of it
-    filled = own.where("length(html) > 0").select("host", F.length("html").alias("n"), F.xxhash64("html").alias("mark"))
+    given = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.col("html").cast("string").alias("html"))
+    trees = materialize(small_batches(given, 256).mapInArrow(_trees, TREE), "trees")
+    if not align:
+        return _joined(trees.withColumn("keep", F.col("own")), pages)
+    # the reference: the page nearest to the median length of the host's pages that have any text, ties by a hash of it
+    length = F.aggregate("sizes", F.lit(0), lambda a, x: a + x)
+    filled = trees.where(F.size("sizes") > 0).select("host", length.alias("n"), "digest", "rid")
     medians = materialize(filled.groupBy("host").agg(F.expr("percentile(n, 0.5)").alias("median")), "medians")
-    chosen = join_bounded(filled, medians, "host", "inner", 64).groupBy("host").agg(F.min(F.struct(F.abs(F.col("n") - F.col("median")).alias("far"), "mark")).alias("ref"))
-    chosen = materialize(chosen.select(F.col("host").alias("ref_host"), F.col("ref.mark").alias("ref_mark")), "reference-ids")
-    refs = join_bounded(own.where("length(html) > 0"), chosen, (F.xxhash64("html") == F.col("ref_mark")) & (F.col("host") == F.col("ref_host")), "inner", 64)
-    refs = materialize(refs.groupBy("host").agg(F.min("html").alias("reference")), "references")
-    length = refs.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
-    met = small_batches(own, 256).join(F.broadcast(refs) if length < 16 << 20 else refs, "host", "left").select("page_id", "url", "host", "html", "reference")
-    blocks = materialize(met.mapInArrow(_blocks, "page_id long, url string, host string, digest long, nodes array<int>, texts array<string>, same array<boolean>"), "blocks")
-    weights, totals = _weights(blocks)
-    votes = blocks.select("host", "digest", F.explode(F.arrays_zip("nodes", "same")).alias("v")).where("v.nodes >= 0")
-    different = votes.groupBy("host", "v.nodes", "digest").agg(F.max(F.col("v.same").cast("int")).alias("same")).where("same = 1")
+    nearest = F.min(F.struct(F.abs(F.col("n") - F.col("median")).alias("far"), "digest", "rid")).alias("ref")
+    chosen = materialize(join_spread(filled, medians, ["host"], "rid", 64).groupBy("host").agg(nearest).select(F.col("ref.rid").alias("rid")), "reference-ids")
+    refs = join_bounded(trees, chosen, "rid", "left_semi", 32)
+    refs = materialize(refs.select("host", *(F.col(c).alias(f"ref_{c}") for c in ("labels", "parents", "kinds", "nodes", "marks"))), "references")
+    rows, nodes = refs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ref_labels") + F.size("ref_nodes")), F.lit(0))).first()
+    met = join_spread(trees.select("rid", "host", "digest", "labels", "parents", "nodes", "marks", "sizes", "links", "own"), refs, ["host"], "rid", 64 + 32 * nodes // max(rows, 1))
+    schema = "rid long, host string, digest long, sizes array<int>, links array<int>, marks array<long>, own array<boolean>, at array<int>, under array<int>, same array<boolean>"
+    aligned = materialize(met.mapInArrow(tidied(_aligned), schema), "aligned")
+    weights, totals = _weights(aligned)
+    # template: nodes whose text is the same in nearly all different pages
+    each = aligned.select("host", "digest", F.explode(F.arrays_zip("at", "under", "same", "sizes", "links")).alias("b")).select("host", "digest", "b.*")
+    different = each.where("same").groupBy("host", "at", "digest").agg(F.lit(1).alias("one"))
     light = weights.where(F.col("weight") < VOTE)
     weight = F.coalesce(F.col("weight"), F.lit(VOTE))
-    counted = join_bounded(different, light, ["host", "digest"], "left", 64).groupBy("host", "nodes").agg(F.sum(weight).alias("same"))
+    counted = join_spread(different, light, ["host", "digest"], "at", 64).groupBy("host", "at").agg(F.sum(weight).alias("same"))
     enough = (F.col("same") >= support * VOTE) & (F.col("same") >= F.col("total") * share)
-    template = materialize(join_bounded(counted, totals, "host", "inner", 64).where(enough).groupBy("host").agg(F.collect_set("nodes").alias("constant")), "template")
-    kept = blocks.join(F.broadcast(template) if fits_broadcast(template, 4096) else template, "host", "left")
-    slots = F.filter(F.arrays_zip("nodes", "texts", "same"), lambda b: F.col("constant").isNull() | ~b["same"] | ~F.array_contains("constant", b["nodes"]))
-    text = F.array_join(F.transform(slots, lambda b: b["texts"]), " ")
-    return kept.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    template = materialize(join_bounded(counted, totals, "host", "inner", 64).where(enough).groupBy("host").agg(F.collect_set("at").alias("constant")), "template")
+    # slots: varying text on each node of the reference, at most as many rows for a host as the reference has nodes
+    known = totals.where(F.col("total") >= support * VOTE).select("host")
+    mass = each.where(~F.col("same")).groupBy("host", F.col("under").alias("node")).agg(F.sum(F.col("sizes") - F.col("links")).cast("double").alias("prose"), F.sum("links").cast("double").alias("links"))
+    mass = mass.groupBy("host").agg(F.collect_list(F.struct("node", "prose", "links")).alias("mass"))
+    decided = refs.select("host", "ref_labels", "ref_parents", "ref_kinds").join(known, "host", "left_semi").join(mass, "host").mapInArrow(_decided, "host string, open array<int>")
+    decided = materialize(decided.join(template, "host", "full_outer"), "wrappers")
+    rows, nodes = decided.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("open"), F.lit(0)) + F.greatest(F.size("constant"), F.lit(0))), F.lit(0))).first()
+    placed = join_spread(aligned.select("rid", "host", "at", "under", "same", "sizes", "own"), decided, ["host"], "rid", 64 + 8 * nodes // max(rows, 1))
+    blocks = F.arrays_zip("at", "under", "same", "sizes", "own")
+    stays = lambda b: F.col("constant").isNull() | ~b["same"] | ~F.array_contains("constant", b["at"])
+    inside = F.transform(blocks, lambda b: F.coalesce(F.array_contains("open", b["under"]), F.lit(False)) & stays(b))
+    marked = F.transform(blocks, lambda b: b["own"] & stays(b))
+    placed = placed.select("rid", "sizes", inside.alias("inside"), marked.alias("marked"))
+    size = lambda c: F.aggregate(F.zip_with(c, "sizes", lambda k, n: F.when(k, n).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    placed = placed.select("rid", F.when(2 * size("inside") >= size("marked"), F.col("inside")).otherwise(F.col("marked")).alias("keep"))
+    return _joined(join_bounded(trees, materialize(placed, "choices"), "rid", "left", 256), pages)
+
+
+def _joined(trees: DataFrame, pages: DataFrame) -> DataFrame:
+    kept = F.filter(F.zip_with("texts", "keep", lambda t, k: F.when(k, t)), lambda t: t.isNotNull())
+    rows = trees.select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    return over(rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")), pages.sparkSession)

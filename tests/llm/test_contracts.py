@@ -196,5 +196,112 @@ def test_intermediate_files_can_be_deleted(spark):
     assert checkpoint_dir(spark) in written_paths(spark)[-1]
 
 
+# --- pages -------------------------------------------------------------------------
+
+
+def host_rows(host, bodies, first=0):
+    return [(first + i, f"https://{host}/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def plain_bodies(n=12):
+    """Pages without a telling tag or class: a menu, a varying teaser, boilerplate and a story, all in div."""
+    story = lambda i: "".join(f"<p>Part {k} of story {i} tells thing {i * 31 + k} at some length</p>" for k in range(3 + i % 4))
+    return [
+        f"<div><a href='/a'>Start</a> <a href='/b'>Topics</a></div><div>Today {i}: <a href='/x{i}'>another piece {i}</a></div>"
+        f"<div><div>All rights reserved by us</div>{story(i)}</div><div>Made with care</div>"
+        for i in range(n)
+    ]
+
+
+def test_alignment_decides(spark):
+    """On a host of unmarked pages the template and all outside the slots go only because pages are aligned."""
+    df = spark.createDataFrame(host_rows("plain.org", plain_bodies()), PAGES)
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(df).collect()}
+    off = {r["page_id"]: r["text"] for r in wrapper.extract(df, align=False).collect()}
+    for i in range(12):
+        assert got[i] == " ".join(f"Part {k} of story {i} tells thing {i * 31 + k} at some length" for k in range(3 + i % 4))
+        assert off[i] != got[i] and "All rights reserved" in off[i]
+
+
+def test_hot_hosts_are_dealt(spark, monkeypatch):
+    """Without any broadcast the same comes out, the largest host in parts."""
+    rows = host_rows("plain.org", plain_bodies(40)) + [r for k in range(8) for r in host_rows(f"h{k}.org", plain_bodies(7), 100 * (k + 1))]
+    df = spark.createDataFrame(rows, PAGES)
+    want = sorted(map(tuple, wrapper.extract(df).collect()))
+    monkeypatch.setattr("corvale.llm.common.fits_broadcast", lambda *a: False)
+    assert sorted(map(tuple, wrapper.extract(df).collect())) == want
+
+
+@pytest.mark.parametrize("hosts", [1, 9])
+def test_nothing_else_is_dropped(spark, hosts):
+    """Both of two articles, paragraphs that are links, and parts of an article whose class names a topic stay, with and without a wrapper."""
+    body = (
+        "<nav><a href='/'>Menu</a></nav><article><h1>Title {i}</h1><p>First {i} text</p><p class='search'>Search is a topic {i}</p><div class='related-work'>Related work {i} is this</div>"
+        "<p><a href='/{i}'>A paragraph {i} that is a link</a></p><ul><li><a href='/y{i}'>Listed {i}</a></ul></article><article><p>Second article {i}</p></article>"
+        "<div class='ad'>Buy {i}</div><div class='comments'><p>Comment {i}</p></div><footer>Foot {i}</footer>"
+    )
+    rows = host_rows("two.org", [body.format(i=i) for i in range(hosts)])
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    for i in range(hosts):
+        assert got[i] == f"Title {i} First {i} text Search is a topic {i} Related work {i} is this A paragraph {i} that is a link Listed {i} Second article {i}"
+
+
+def test_pages_that_do_not_fit_keep_their_text(spark):
+    odd_page = "<main><section><p>" + "Quite another page, built in another way. " * 20 + "</p></section></main>"
+    df = spark.createDataFrame(host_rows("plain.org", [*plain_bodies(), odd_page]), PAGES)
+    got = {r["page_id"]: r["text"] for r in wrapper.extract(df).collect()}
+    assert got[12] == ("Quite another page, built in another way. " * 20).strip()
+
+
+def test_matching_is_the_largest():
+    """Sizes of matchings against all ways to match children in order."""
+    import functools
+    import random
+
+    r = random.Random(8)
+
+    def tree(depth):
+        return (r.choice("ab"), tuple(tree(depth - 1) for _ in range(r.randint(0, 3))) if depth else ())
+
+    @functools.cache
+    def largest(x, y):
+        if x[0] != y[0]:
+            return 0
+
+        @functools.cache
+        def best(i, j):
+            if i == len(x[1]) or j == len(y[1]):
+                return 0
+            return max(best(i + 1, j), best(i, j + 1), largest(x[1][i], y[1][j]) + best(i + 1, j + 1))
+
+        return 1 + best(0, 0)
+
+    def skeleton(t):
+        labels, parents = [], []
+
+        def add(node, parent):
+            own = len(labels)
+            labels.append(ord(node[0]))
+            parents.append(parent)
+            for c in node[1]:
+                add(c, own)
+
+        add(t, -1)
+        return wrapper.Skeleton(labels, parents)
+
+    m = wrapper.Matcher()
+    for _ in range(300):
+        x, y = (("r", (tree(3), tree(3), tree(2))) for _ in range(2))
+        a, b = skeleton(x), skeleton(y)
+        sa, sb = m.shape(a), m.shape(b)
+        partner = m.align(a, sa, b, sb)
+        assert m.size(sa[0], sb[0]) == largest(x, y) == sum(p >= 0 for p in partner)
+        for e, p in enumerate(partner):
+            assert p < 0 or a.labels[e] == b.labels[p] and (e == 0 or partner[a.parents[e]] == b.parents[p])
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11)) and wrapper.extract

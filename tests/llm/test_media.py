@@ -75,11 +75,16 @@ def test_shapes_are_forgotten_between_pairs():
     """With any bound on remembered shapes the nodes are the same."""
     import pyarrow as pa
 
-    sources = [page(i, "<article>" + "<p>a</p><ul><li>b</ul>" * (i % 7) + f"<p>{i}</p></article>") for i in range(30)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(["u"] * 30), pa.array(["h"] * 30), pa.array(sources), pa.array([sources[3]] * 30)], ["page_id", "url", "host", "html", "reference"])
-    want = next(wrapper._blocks(iter([batch]))).to_pydict()
+    pages = [wrapper.Page(page(i, "<article>" + "<p>a</p><ul><li>b</ul>" * (i % 7) + f"<p>{i}</p></article>")) for i in range(30)]
+    rows = []
+    for i, p in enumerate(pages):
+        own = {"labels": [wrapper._label(x) for x in p.labels], "parents": p.parents, "nodes": [e for e, _, _ in p.blocks], "marks": [wrapper._mark(t) for _, t, _ in p.blocks]}
+        rows.append({"rid": i, "host": "h", "digest": i, "sizes": [1], "links": [0], "own": [True], **own})
+    batch = pa.RecordBatch.from_pylist([r | {f"ref_{c}": rows[3][c] for c in ("labels", "parents", "nodes", "marks")} for r in rows])
+    want = next(wrapper._aligned(iter([batch]))).to_pydict()
+    assert max(map(max, want["at"])) > 3
     for most in (0, 10, 40, 60):
-        assert next(wrapper._blocks(iter([batch]), most)).to_pydict() == want
+        assert next(wrapper._aligned(iter([batch]), most)).to_pydict() == want
 
 
 def test_near_copies_vote_once(spark):
