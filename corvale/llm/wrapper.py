@@ -14,7 +14,7 @@ node that holds nearly all varying text outside links, found by descent from
 the root while one child has most of it and beside that child no paragraph,
 heading, article or element of the same classes varies. Text outside it (varying notices, adverts, related pages) is
 no content; inside it only what the markup says to be a menu, sidebar, advert,
-form or reader comment goes, and, unless it is an article, lists of links.
+form or reader comment goes, and, but for those in an article, lists of links.
 
 *Few pages.* Hosts with too few different pages to vote, and pages that don't
 fit their host's wrapper (it has less than half of the text that their own
@@ -488,13 +488,12 @@ def wrapper_of(labels: list[int], parents: list[int], kinds: list[int], prose: l
         if not held[child] or held[child] < DEEPER * held[top] or beside or kinds[child] & IS_PROSE or prose[top] > (1 - DEEPER) / 5 * held[top]:
             break
         top = child
-    up, article = top, False
-    while up >= 0:
-        article, up = article or bool(kinds[up] & IS_MAIN), parents[up]
-    is_open, menu = [False] * n, [False] * n
+    is_open, menu, article = [False] * n, [False] * n, [False] * n
     for e in range(n):
-        menu[e] = e > 0 and menu[parents[e]] or e != top and bool(kinds[e] & IS_BOX) and linked[e] > 0.6 * (held[e] + linked[e])
-        is_open[e] = (e == top or e > 0 and is_open[parents[e]]) and (article or not menu[e])
+        up = parents[e]
+        article[e] = bool(kinds[e] & IS_MAIN) or e > 0 and article[up]
+        menu[e] = e > 0 and menu[up] or e != top and bool(kinds[e] & IS_BOX) and linked[e] > 0.6 * (held[e] + linked[e])
+        is_open[e] = (e == top or e > 0 and is_open[up]) and (article[e] or not menu[e])
     return is_open
 
 
