@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import materialize, settled, small_batches, text_bytes, tidied
+from corvale.llm.common import materialize, over, small_batches, text_bytes, tidied
 
 MU_LAW, A_LAW, IMA = 7, 6, 0x11
 BLOCK, FILL = 576, 255
@@ -207,7 +207,7 @@ def store(docs: DataFrame, rate: int = 8000) -> DataFrame:
             media = [to_wav(r + bytes([FILL]) * (-len(r) % BLOCK if r else BLOCK), rate) for r in raws]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return materialize(small_batches(docs, 256).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_bytes long, media binary"), "media")
+    return materialize(small_batches(docs, 256).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_bytes long, media binary"), "media", level=9)
 
 
 def decode(media: DataFrame, rate: int = 16000) -> DataFrame:
@@ -283,5 +283,5 @@ def describe(media: DataFrame, rate: int = 16000, coded: bool = False) -> DataFr
             marks = [f"{f};pcm{rate}={zlib.crc32(unpack_pcm(p).astype('<i2').tobytes() if coded else p):08x}" for f, p in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(marks, pa.string())], batch.schema.names[:8])
 
-    stored = small_batches(materialize(described, "pcm", 16 << 20), 64)
-    return settled(stored.mapInArrow(heard, DESCRIBED), media.sparkSession, "audio")
+    stored = over(materialize(described, "pcm", 16 << 20, level=9), media.sparkSession)
+    return stored.mapInArrow(heard, DESCRIBED)

@@ -84,17 +84,18 @@ def clean_up(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
     return len(gone)
 
 
-def materialize(df: DataFrame, label: str, row_group: int = 128 << 20) -> DataFrame:
+def materialize(df: DataFrame, label: str, row_group: int = 128 << 20, level: int = 3) -> DataFrame:
     """Write ``df`` once as Parquet into the shared checkpoint folder and read it back.
 
     It cuts the lineage like checkpoint(), but the files are compressed, only
     the columns in use are read again, and a lost executor loses nothing. A
     reader holds a column of a row group, so large binaries need small ones.
+    A higher ``level`` takes more time and less room.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/corvale-{label}-{uuid.uuid4().hex}"
     written_paths(spark).append(path)
-    df.write.option("compression", "zstd").option("parquet.block.size", row_group).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.block.size", row_group).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
