@@ -8,7 +8,10 @@ again inside each lambda.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,28 +119,66 @@ def search_terms(keywords: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(keywords, variants)))
 
 
-def corpus_keywords(most: int, least_length: int = 2):
-    """The same choice as ``with_keywords`` as a vectorised function, for long texts.
+_RUN = re.compile(r"[a-z0-9_-]+")
+#: Texts of so many characters are scanned once for each keyword.
+SCANNED = 30_000
+
+
+def _occurrences(words: list[str], runs: Iterable[str]) -> Iterator[tuple[str, str, int]]:
+    """(run, word, times without overlap) for each of ``words`` in each of ``runs``; one pass over the runs finds all words."""
+    automaton = ahocorasick.Automaton()
+    for w in words:
+        automaton.add_word(w, w)
+    automaton.make_automaton()
+    for run in runs:
+        upto: dict[str, int] = {}
+        times: Counter[str] = Counter()
+        for last, w in automaton.iter(run):
+            if last - len(w) >= upto.get(w, -1):
+                upto[w] = last
+                times[w] += 1
+        for w, n in times.items():
+            yield run, w, n
+
+
+def keyword_choice(most: int, least_length: int = 2) -> Callable[[str | None], list[str]]:
+    """The choice of ``with_keywords`` for one text of any length.
 
-    How often a keyword lies in the text is counted for each distinct token;
-    that is the cost, and a scan of the text in place is many times faster
-    than the copies that ``replace`` makes.
+    A keyword is made of the characters that runs are made of, so where it lies
+    in the text it lies within a run: in texts above ``SCANNED`` characters one
+    pass over the distinct runs finds all keywords in them, so the time is
+    linear in the text; for shorter ones a scan for each keyword is faster.
     """
     kept, dropped, compounds = frozenset(PRESERVED), frozenset(DROPPED), [(re.compile(p), term) for p, term in COMPOUNDS]
-    token = re.compile(r"[a-z0-9_-]+")
 
     def best(raw: str | None) -> list[str]:
         raw = raw or ""
         low = raw.lower()
-        found = dict.fromkeys(t for t in token.findall(low) if len(t) >= least_length and (t in kept or t not in dropped))
+        runs = Counter(_RUN.findall(low))
+        found = dict.fromkeys(t for t in runs if len(t) >= least_length and (t in kept or t not in dropped))
         found.update(dict.fromkeys(term for p, term in compounds if p.search(low)))
+        inner = [k for k in found if _RUN.fullmatch(k)] if len(low) > SCANNED else []
+        rest = [k for k in found if not _RUN.fullmatch(k)] if inner else found  # compounds of other characters are a fixed list
+        count = Counter({k: low.count(k) for k in rest})
+        as_is = {k for k in rest if k in raw}
+        if inner:
+            for run, k, n in _occurrences(inner, runs):
+                count[k] += n * runs[run]
+            as_is.update(k for _, k, _ in _occurrences(inner, set(_RUN.findall(raw))))
 
         def score(k: str) -> int:
-            return 3 * (k in raw) + 2 * (k in kept) + (len(k) > 5) + (not k.isalpha() and any(c.isdigit() for c in k)) + 2 * max(low.count(k) - 1, 0)
+            return 3 * (k in as_is) + 2 * (k in kept) + (len(k) > 5) + (not k.isalpha() and any(c.isdigit() for c in k)) + 2 * max(count[k] - 1, 0)
 
         ranked = sorted(((-score(k), i, k) for i, k in enumerate(found)))
         return [k for _, _, k in ranked[:most]]
 
+    return best
+
+
+def corpus_keywords(most: int, least_length: int = 2):
+    """The same choice as ``with_keywords`` as a vectorised function, for long texts."""
+    best = keyword_choice(most, least_length)
+
     @F.pandas_udf("array<string>")
     def keywords(texts: pd.Series) -> pd.Series:
         return texts.map(best)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvale.functions.text import with_tokens
@@ -41,6 +41,24 @@ class Index:
     def unpersist(self) -> None:
         self.postings.unpersist()
 
+    def save(self, path: str, buckets: int = 64) -> Index:
+        """Write the index under ``path``, postings in a folder for each bucket of terms, and give it as read from there."""
+        files = self.postings.where("term is not null").withColumn("bucket", _bucket(F.col("term"), buckets))
+        files.repartition("bucket", _bucket(F.col("term"), 1 << 20) % 8).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.terms.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/terms")
+        self.stats.write.parquet(f"{path}/stats")
+        return load(self.postings.sparkSession, path)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """An index that ``save`` wrote."""
+    postings, terms, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats"))
+    return Index(postings, terms, stats)
+
 
 def tokens_to_postings(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, tf, length) of rows with ``tokens``; a token's frequency is counted in its row, without a shuffle."""
@@ -70,8 +88,14 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query_te
 
 def scores(index: Index, queries: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, keyword_score) of positive scores, rounded."""
-    asked = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    met = index.postings.join(asked, "term").crossJoin(F.broadcast(index.stats.select("mean_length")))
+    asked = query_terms(queries)
+    postings = index.postings
+    if "bucket" in postings.columns:  # a stored index: only the folders of the terms asked for are read
+        asked = asked.join(index.terms.select("term", "idf", "buckets"), "term").withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int")).drop("buckets")
+        met = postings.join(asked, ["bucket", "term"]).drop("bucket")
+    else:
+        met = postings.join(asked.join(index.terms.select("term", "idf"), "term"), "term")
+    met = met.crossJoin(F.broadcast(index.stats.select("mean_length")))
     part = weight(F.col("tf"), F.col("idf"), F.col("length"), F.col("mean_length")) * F.col("times")
     return met.groupBy("query_id", key).agg(F.round(F.sum(part), DECIMALS).alias("keyword_score")).where("keyword_score > 0")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,16 +82,51 @@ def chunk_rollup(documents: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.fillna(0, ["chunk_count", "content_length"])
 
 
-def sources(documents: DataFrame, chunks: DataFrame, limit: int = 50, url_pattern: str | None = None, source_type: str | None = None, index_id: int | None = None) -> DataFrame:
-    """A page of documents with their rollup; predicates go below the aggregation."""
-    checked("limit", limit, 1, 200)
+def _sources(documents: DataFrame, url_pattern: str | None, source_type: str | None, index_id: int | None) -> DataFrame:
     if url_pattern:
         documents = documents.where(_like(url_pattern)("url"))
     if source_type:
         documents = documents.where(F.col("crawl_type") == source_type)
     if index_id is not None:
         documents = documents.where(F.col("vector_index_id") == index_id)
-    return chunk_rollup(documents, chunks).orderBy("id").limit(limit)
+    return documents
+
+
+def sources(documents: DataFrame, chunks: DataFrame, limit: int = 50, url_pattern: str | None = None, source_type: str | None = None, index_id: int | None = None) -> DataFrame:
+    """A page of documents with their rollup; predicates and the limit go below the aggregation."""
+    return sources_page(documents, chunks, limit, url_pattern, source_type, index_id)[1]
+
+
+def sources_page(
+    documents: DataFrame, chunks: DataFrame, limit: int = 50, url_pattern: str | None = None, source_type: str | None = None, index_id: int | None = None
+) -> tuple[int, DataFrame]:
+    """How many documents match, and a page of them with their rollup."""
+    checked("limit", limit, 1, 200)
+    own = _sources(documents, url_pattern, source_type, index_id)
+    return own.count(), _rolled(own.orderBy("id").limit(limit), chunks).orderBy("id")
+
+
+def document_page(
+    documents: DataFrame, chunks: DataFrame, limit: int = 50, offset: int = 0, source_id: str | None = None, crawl_type: str | None = None, newest: str = "created_at"
+) -> tuple[int, DataFrame]:
+    """How many documents match, and a page of them with their rollup, newest first."""
+    for name, value in (("source_id", source_id), ("crawl_type", crawl_type)):
+        documents = documents.where(F.col(name) == value) if value else documents
+    return documents.count(), _rolled(page(documents, limit, offset, newest), chunks).orderBy(F.desc(newest), F.desc("id"))
+
+
+def _rolled(own: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rollup of a page of documents, made of their own chunks alone."""
+    return chunk_rollup(own, chunks.join(F.broadcast(own.select(F.col("id").alias("document_id"))), "document_id", "left_semi"))
+
+
+def index_rollup(documents: DataFrame, k: int = 10) -> DataFrame:
+    """(index_name, kind, value, n): for each index its types, and its ``k`` most frequent domains."""
+    types = documents.where(F.coalesce("crawl_type", F.lit("")) != "").groupBy("index_name", F.col("crawl_type").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    domains = documents.groupBy("index_name", F.col("domain").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("index_name").orderBy(F.desc("n"), F.asc_nulls_first("value"))
+    domains = domains.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r").where(F.coalesce("value", F.lit("")) != "")
+    return types.select("index_name", F.lit("type").alias("kind"), "value", "n").unionByName(domains.select("index_name", F.lit("domain").alias("kind"), "value", "n"))
 
 
 def index_statistics(documents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -107,5 +142,9 @@ def vector_statistics(vectors: DataFrame) -> DataFrame:
 
 
 def throughput(batches: DataFrame) -> DataFrame:
-    """Totals and rate of (n_texts, seconds)."""
-    return batches.agg(F.sum("n_texts").alias("total"), F.sum("seconds").alias("seconds"), (F.sum("n_texts") / F.sum("seconds")).alias("rate"))
+    """Totals and rate of (n_texts, seconds), and the rate of the last batch if there is a ``batch`` number."""
+    rate = lambda n, s: F.when(s > 0, n / s).otherwise(0.0)
+    own = [F.sum("n_texts").alias("total"), F.sum("seconds").alias("seconds"), rate(F.sum("n_texts"), F.sum("seconds")).alias("rate")]
+    if "batch" in batches.columns:
+        own.append(F.max_by(rate(F.col("n_texts"), F.col("seconds")), "batch").alias("last_rate"))
+    return batches.agg(*own)

@@ -14,6 +14,7 @@ from corvale.functions import url as U
 from corvale.functions.text import strip, title, word_count
 from corvale.operators.chunking import chunk
 from corvale.operators.dedup import new_documents, stored_chunks
+from corvale.session import shared_folder
 from corvale.sources.store import Store
 
 LEAST_CONTENT = 10
@@ -35,21 +36,76 @@ def hash_embedder(dimension: int = 64) -> Embedder:
     return embed
 
 
-def embed(rows: DataFrame, key: str, text: str, load: Callable[[], Embedder], dimension: int, batch: int = 100) -> DataFrame:
-    """(key, embedding): ``load`` gives the model once in each task, which embeds ``batch`` texts at a time."""
+def embed(rows: DataFrame, key: str, text: str, load: Callable[[], Embedder], dimension: int, batch: int = 100, prompt: str = "") -> DataFrame:
+    """(key, embedding) of all rows; an error of the model is raised. ``prompt`` is put before each text, as models ask it for queries."""
+    got = tried(rows, key, text, load, dimension, batch, prompt)
+    return got.select(key, F.when(F.col("error").isNull(), F.col("embedding")).otherwise(F.raise_error(F.col("error")).cast("array<float>")).alias("embedding"))
+
+
+def tried(rows: DataFrame, key: str, text: str, load: Callable[[], Embedder], dimension: int, batch: int = 100, prompt: str = "") -> DataFrame:
+    """(key, embedding, error): ``load`` gives the model once in each task, which embeds ``batch`` texts at a time.
+
+    The texts of a batch that fails are tried one by one, so that an error is that of its own text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
+
+        def vectors(texts: list[str]) -> list[np.ndarray]:
+            got = np.asarray(model(texts), np.float32)
+            if got.shape != (len(texts), dimension):
+                raise ValueError(f"the model gives {got.shape[-1]} dimensions, not {dimension}")
+            return list(got)
+
         for b in batches:
             model = model or load()
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            got = [model(texts[i : i + batch]) for i in range(0, len(texts), batch)]
-            vectors = np.concatenate(got).astype(np.float32) if got else np.zeros((0, dimension), np.float32)
-            if vectors.shape[1] != dimension:
-                raise ValueError(f"the model gives {vectors.shape[1]} dimensions, not {dimension}")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(vectors), pa.list_(pa.float32()))], [key, "embedding"])
+            texts = [prompt + (t or "") for t in b.column(1).to_pylist()]
+            out: list[np.ndarray | None] = []
+            errors: list[str | None] = []
+            for i in range(0, len(texts), batch):
+                part = texts[i : i + batch]
+                try:
+                    own: list[tuple] = [(v, None) for v in vectors(part)]
+                except Exception:  # noqa: BLE001 - whatever a model raises belongs to a text
+                    own = []
+                    for t in part:
+                        try:
+                            own.append((vectors([t])[0], None))
+                        except Exception as e:  # noqa: BLE001
+                            own.append((None, f"{type(e).__name__}: {e}"))
+                out += [v for v, _ in own]
+                errors += [e for _, e in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float32())), pa.array(errors, pa.string())], [key, "embedding", "error"])
+
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>, error string")
+
+
+class Model:
+    """A model that is loaded when first asked: its dimension by a probe, what is known of it, a warm-up, and letting go."""
 
-    return rows.select(key, text).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<float>")
+    def __init__(self, load: Callable[[], Embedder], name: str = "hash"):
+        self.load, self.name, self._own = load, name, None
+
+    def __call__(self) -> Embedder:
+        if self._own is None:
+            self._own = self.load()
+        return self._own
+
+    @property
+    def dimension(self) -> int:
+        return int(np.asarray(self()(["probe"])).shape[1])
+
+    def warm_up(self) -> None:
+        self()(["warm-up"])
+
+    def info(self) -> dict:
+        return {"name": self.name, "loaded": self._own is not None, "dimension": self.dimension if self._own is not None else None}
+
+    def clear(self) -> None:
+        self._own = None
+
+    def __getstate__(self) -> dict:  # workers load their own
+        return {"load": self.load, "name": self.name, "_own": None}
 
 
 def enrich(incoming: DataFrame) -> DataFrame:
@@ -61,14 +117,17 @@ def enrich(incoming: DataFrame) -> DataFrame:
     return kept.select(
         "url", given("title", title(F.col("content"))).alias("title"), "content", F.md5("content").alias("content_hash"), given("source_id", U.source_id(F.col("url"))).alias("source_id"),
         U.netloc(F.col("url")).alias("domain"), word_count(F.col("content")).alias("word_count"), F.length("content").alias("char_count"), given("crawl_type", F.lit("webpage")).alias("crawl_type"),
-        (F.map_concat(own, F.col("doc_metadata")) if "doc_metadata" in has else own).alias("doc_metadata"),
+        (F.coalesce(F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key("doc_metadata", k)), F.col("doc_metadata")), own) if "doc_metadata" in has else own).alias("doc_metadata"),
     )
 
 
 def numbered(rows: DataFrame, first: int, order: list[str], name: str = "id") -> DataFrame:
     """Consecutive ids from ``first`` on in the given order: rows are ranged and counted by partition, not gathered in one."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    ranged = ranged.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else ranged.cache()
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    ranged = ranged.checkpoint()  # a lost executor must not range and number anew
     totals = sorted((r["__p"], r["n"]) for r in ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per partition
     starts, at = [], first
     for p, n in totals:
@@ -88,28 +147,48 @@ def store_documents(store: Store, incoming: DataFrame, index_name: str = "defaul
     found = store.read("vector_indexes").where(F.col("name") == index_name).select("id").first()
     if found is None:
         raise ValueError(f"index {index_name} does not exist")
+    with store.lock("documents"):
+        return _store_documents(store, incoming, found["id"])
+
+
+def _store_documents(store: Store, incoming: DataFrame, index_id: int) -> DataFrame:
     stored = store.read("documents")
-    fresh = new_documents(enrich(incoming), stored, "url")
+    # of rows with one url the first by content counts; the key is unique, as first_of asks
+    own = enrich(incoming).withColumn("__order", F.concat_ws("\n", "url", "content_hash")).dropDuplicates(["__order"])
+    fresh = new_documents(own, stored, "__order").drop("__order")
     last = _last_id(stored)
-    rows = numbered(fresh, last + 1, ["url"]).withColumns({"vector_index_id": F.lit(found["id"]), "is_processed": F.lit(False), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+    rows = numbered(fresh, last + 1, ["url"]).withColumns({"vector_index_id": F.lit(index_id), "is_processed": F.lit(False), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
     store.append("documents", rows)
     return store.read("documents").where(F.col("id") > last)
 
 
 def process_documents(store: Store, load: Callable[[], Embedder], dimension: int, strategy: str = "original", model_name: str = "hash", index_name: str = "default", **params) -> DataFrame:
-    """Chunk, deduplicate, embed and mark all documents that aren't processed; gives the chunks stored."""
-    documents, before = store.read("documents"), store.read("document_chunks")
-    waiting = documents.where(~F.col("is_processed"))
-    pieces = chunk(waiting, strategy, key="id", text="content", **params).withColumnRenamed("id", "document_id")
-    last, place = _last_id(before), _last_id(before, "faiss_index") if before.limit(1).count() else -1
-    kept = numbered(stored_chunks(pieces, before), last + 1, ["document_id", "chunk_index"])
-    kept = kept.withColumn("faiss_index", F.col("id") - last + place).withColumn("created_at", F.current_timestamp())
-    store.append("document_chunks", kept)
-    chunks = store.read("document_chunks").where(F.col("id") > last)
-    vectors = embed(chunks.select("id", "content"), "id", "content", load, dimension)
-    store.append("embeddings", vectors.select(F.col("id"), F.col("id").alias("chunk_id"), F.lit("chunk").alias("kind"), F.lit(model_name).alias("model_name"), F.lit(dimension).alias("embedding_dimension"), "embedding", F.lit(index_name).alias("index_name"), F.lit(False).alias("deleted"), F.current_timestamp().alias("created_at")))
-    store.replace("documents", documents.withColumn("is_processed", F.lit(True)).withColumn("updated_at", F.current_timestamp()))
-    return chunks
+    """Chunk, deduplicate and embed all documents that wait, and mark them; gives the chunks stored.
+
+    A document with a chunk that the model fails on keeps waiting, with that
+    error as its ``processing_error`` and none of its chunks.
+    """
+    with store.lock("document_chunks"):
+        documents, before = store.read("documents"), store.read("document_chunks")
+        waiting = documents.where(~F.col("is_processed"))
+        pieces = chunk(waiting, strategy, key="id", text="content", **params).withColumnRenamed("id", "document_id")
+        last, place = _last_id(before), _last_id(before, "faiss_index") if before.limit(1).count() else -1
+        kept = numbered(stored_chunks(pieces, before), last + 1, ["document_id", "chunk_index"])
+        vectors = tried(kept, "id", "content", load, dimension).checkpoint()
+        failed = kept.select("id", "document_id").join(vectors.where("error IS NOT NULL"), "id").groupBy("document_id").agg(F.min("error").alias("__error")).checkpoint()
+        kept = kept.join(failed, "document_id", "left_anti").withColumn("faiss_index", F.col("id") - last + place).withColumn("created_at", F.current_timestamp())
+        store.append("document_chunks", kept)
+        chunks = store.read("document_chunks").where(F.col("id") > last)
+        own = vectors.join(chunks.select("id"), "id", "left_semi")
+        store.append("embeddings", own.select(F.col("id"), F.col("id").alias("chunk_id"), F.lit("chunk").alias("kind"), F.lit(model_name).alias("model_name"), F.lit(dimension).alias("embedding_dimension"), "embedding", F.lit(index_name).alias("index_name"), F.lit(False).alias("deleted"), F.current_timestamp().alias("created_at")))
+        waits = ~F.col("is_processed")
+        marked = documents.join(failed, F.col("id") == F.col("document_id"), "left").withColumns({
+            "processing_error": F.when(waits, F.col("__error")).otherwise(F.col("processing_error")),
+            "updated_at": F.when(waits, F.current_timestamp()).otherwise(F.col("updated_at")),
+            "is_processed": F.col("is_processed") | F.col("__error").isNull(),
+        })
+        store.replace("documents", marked.drop("document_id", "__error"))
+        return chunks
 
 
 def store_code_examples(store: Store, examples: DataFrame, load: Callable[[], Embedder], dimension: int, index_name: str = "default") -> None:

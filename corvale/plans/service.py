@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvale.functions.text import snippet
 from corvale.operators import bm25, catalog, rerank, search
 from corvale.plans.indexes import METRICS, Indexes
 from corvale.plans.ingest import Embedder, embed, process_documents, store_documents
@@ -80,13 +81,29 @@ class Service:
         inside = self.store.read("document_chunks").where(F.col("document_id") == document_id).select(F.col("id").alias("chunk_id"))
         return search.vector_search(self._vectors(None), self._queries([text]), most, allowed=inside)
 
-    def search_all_indexes(self, text: str, k: int = 10) -> DataFrame:
+    def search_all_indexes(self, text: str, k: int = 10, use_reranking: bool = False, strategy: str = "hybrid") -> DataFrame:
+        """The best of all active indexes: twice ``k`` of each by vectors, put together with the keyword hits, reranked on request."""
+        catalog.checked("k", k, 1, 50)
+        queries = self._queries([text])
         active = self.store.read("vector_indexes").where("is_active").select(F.col("name").alias("index_name"))
-        return search.search_all_indexes(self._vectors(None).join(F.broadcast(active), "index_name", "left_semi"), self._queries([text]), k)
+        own = self._vectors(None).join(F.broadcast(active), "index_name", "left_semi")
+        found = search.search_all_indexes(own, queries, 3 * k if use_reranking else k).select("query_id", "chunk_id", "similarity", "rank")
+        words = bm25.keyword_search(self.keyword_index(), queries, 2 * k).join(own.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        hits = search.fuse(found, words).where(F.col("rank") <= (3 * k if use_reranking else k))
+        if use_reranking:
+            texts = hits.join(self.store.read("document_chunks").select(F.col("id").alias("chunk_id"), snippet(F.col("content")).alias("content")), "chunk_id").join(queries.select("query_id", "query_text"), "query_id")
+            best = rerank.rerank(texts, strategy, k)
+            hits = hits.drop("rank").join(best.select("query_id", "chunk_id", "final_score", "rank"), ["query_id", "chunk_id"])
+        return hits.join(own.select("chunk_id", "index_name").distinct(), "chunk_id").orderBy("rank")
 
     def sources(self, **params) -> DataFrame:
         return catalog.sources(self.store.read("documents"), self.store.read("document_chunks"), **params)
 
+    def keyword_statistics(self) -> DataFrame:
+        """One row: chunks indexed, terms, and the mean length, with the number of rows of each table."""
+        own = self.keyword_index()
+        return self.statistics().crossJoin(own.stats).crossJoin(own.terms.agg(F.count(F.lit(1)).alias("n_terms")))
+
     def statistics(self) -> DataFrame:
         names = {"documents": "documents", "chunks": "document_chunks", "embeddings": "embeddings", "code_examples": "code_examples"}
         return catalog.counts(**{n: self.store.read(t) for n, t in names.items()})

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvale import oracles as O
 from corvale.functions import text as T
 from corvale.functions import url as U
 from corvale.operators import bm25, catalog, chunking, crawl, dedup, rerank, search
+from corvale.session import shared_folder
 from corvale.sources import pages as P
 from corvale.streaming import tasks
 
@@ -56,6 +58,23 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+#: Stored keyword indexes by application and input files.
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The keyword index of all documents, built and written once for these input files, then read."""
+    docs = units(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(docs.inputFiles()))
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/corvale-bm25-{uuid.uuid4().hex}"
+        built = bm25.build(docs)
+        built.save(path)
+        built.unpersist()
+        _STORED[key] = path
+    return bm25.load(spark, _STORED[key])
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("index_"), "label").alias("index_name"), (F.col("vec_id") % 7 == 3).alias("deleted"))
 
@@ -149,12 +168,11 @@ def chunk_context(spark, sf_dir):
 SELECT a.doc_id, a.chunk_index, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity FROM ws a JOIN ws b ON a.doc_id = b.doc_id AND b.chunk_index = a.chunk_index + 1 WHERE len(a.w) > 0 AND len(b.w) > 0"""
 )
 def chunk_jaccard(spark, sf_dir):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("doc_id").orderBy("chunk_index")
-    own = chunk_rows(spark, sf_dir).select("doc_id", "chunk_index", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))).alias("w"))
-    met = own.withColumn("x", F.lead("w").over(order)).where("size(w) > 0 and size(x) > 0")
-    return met.select("doc_id", "chunk_index", F.round(F.size(F.array_intersect("w", "x")) / F.size(F.array_union("w", "x")), 6).alias("similarity"))
+    met = chunk_rows(spark, sf_dir).select("doc_id", "chunk_index", "content", F.lead("content").over(order).alias("after")).where("after is not null")
+    words = F.lit(r"[\p{L}\p{N}\p{M}_]")
+    met = met.where(F.regexp_like("content", words) & F.regexp_like("after", words))
+    return met.select("doc_id", "chunk_index", F.round(T.jaccard(F.col("content"), F.col("after")), 6).alias("similarity"))
 
 
 def _chunker(kind: str, f: Callable[[DataFrame], DataFrame]) -> None:
@@ -168,20 +186,20 @@ for _kind, _language in (("advanced", None), ("semantic", None), ("code", "pytho
 _chunker("merged", lambda d: chunking.chunk_advanced(d, merge=True))
 _chunker("simple", chunking.chunk_simple)
 _chunker("fixed", chunking.chunk_fixed)
-_chunker("specialized", lambda d: chunking.chunk_specialized(d.withColumn("url", F.concat("source", F.lit(".py"))), kind="lang"))
+_chunker("specialized", lambda d: chunking.chunk_specialized(d.select("doc_id", "text", F.concat("source", F.lit(".py")).alias("url"), F.when(F.col("lang") == "en", "text_file").otherwise("webpage").alias("crawl_type")), kind="crawl_type"))
 
 # --- keyword search ----------------------------------------------------------------
 
 
 @query(f"WITH {O.BM25} SELECT any_value(n) AS n, round(any_value(m), 6) AS mean_length, count(*) AS n_terms, round(any_value(mean_idf), 6) AS mean_idf FROM cterms, cst")
 def bm25_stats(spark, sf_dir):
-    index = bm25.build(units(spark, sf_dir))
+    index = stored_index(spark, sf_dir)
     return index.terms.agg(F.count(F.lit(1)).alias("n_terms")).crossJoin(F.broadcast(index.stats)).select("n", F.round("mean_length", 6).alias("mean_length"), "n_terms", F.round("mean_idf", 6).alias("mean_idf"))
 
 
 @query(f"WITH {O.BM25} SELECT query_id, chunk_id, keyword_score, rank::INTEGER AS rank FROM hits WHERE rank <= 10")
 def keyword_search(spark, sf_dir):
-    return bm25.keyword_search(bm25.build(units(spark, sf_dir)), text_queries(spark, sf_dir), 10)
+    return bm25.keyword_search(stored_index(spark, sf_dir), text_queries(spark, sf_dir), 10)
 
 
 # --- vectors -----------------------------------------------------------------------
@@ -272,7 +290,7 @@ def vector_approximate(spark, sf_dir):
 
 
 def _hybrid(spark, sf_dir, k: int) -> DataFrame:
-    return search.hybrid_search(vectors(spark, sf_dir), bm25.build(units(spark, sf_dir)), both_queries(spark, sf_dir), k)
+    return search.hybrid_search(vectors(spark, sf_dir), stored_index(spark, sf_dir), both_queries(spark, sf_dir), k)
 
 
 @query(f"WITH {O.hybrid(10)} SELECT query_id, chunk_id, similarity, keyword_score, combined_score, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
@@ -504,8 +522,7 @@ def task_ttl(spark, sf_dir):
 
 @query(f"WITH {TASKS} SELECT count(*) FILTER (status = 'running') AS running, count(*) AS total FROM l")
 def task_active(spark, sf_dir):
-    s = tasks.latest_state(task_events(spark, sf_dir))
-    return s.agg(F.count_if(F.col("status") == "running").alias("running"), F.count(F.lit(1)).alias("total"))
+    return tasks.active_counts(tasks.latest_state(task_events(spark, sf_dir)))
 
 
 @query(f"SELECT count(*) FILTER ({O.valid('url')}) AS stored, count(*) FILTER (NOT {O.valid('url')}) AS failed, count(*) FILTER (NOT {O.valid('url')}) = 0 AS success FROM pages")

@@ -30,6 +30,11 @@ def active(states: DataFrame) -> DataFrame:
     return states.where(F.col("status") == "running")
 
 
+def active_counts(states: DataFrame) -> DataFrame:
+    """One row: running tasks and all."""
+    return states.agg(F.count_if(F.col("status") == "running").alias("running"), F.count(F.lit(1)).alias("total"))
+
+
 def evicted(states: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     """States without the terminal ones that are older than ``hours`` or have no time."""
     if not 1 <= hours <= 168:
@@ -53,14 +58,16 @@ def task_states(events: DataFrame, hours: int = 24, late: str = "10 minutes") ->
             state.remove()
             return
         status, current, total = state.get if state.exists else ("running", 0, 0)
-        rows = pd.concat(list(frames)).sort_values("ts")
-        changed = False
-        for r in rows.itertuples():
-            if status in TERMINAL:
-                break
-            status, current, total, changed = r.status, int(r.current_item), int(r.total_items), True
+        rows = pd.concat(list(frames))
+        changed = status not in TERMINAL
+        if changed:  # as in latest_state: the last event up to the first terminal one, terminal ones and higher numbers last in a tie
+            ended = rows["status"].isin(TERMINAL)
+            rows = rows.assign(ended=ended)
+            upto = rows[rows["ts"] <= rows.loc[ended, "ts"].min()] if ended.any() else rows
+            best = upto.sort_values(["ts", "ended", "current_item"]).iloc[-1]
+            status, current, total = best["status"], int(best["current_item"]), int(best["total_items"])
         state.update((status, current, total))
-        until = int(rows["ts"].iloc[-1].timestamp() * 1000) + hours * 3_600_000
+        until = int(rows["ts"].max().timestamp() * 1000) + hours * 3_600_000
         state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if changed:
             percent = min(100.0, current / total * 100 if total > 0 else float(current))
