@@ -131,8 +131,10 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str, bytes_per_row:
     return big.join(F.broadcast(small) if fits_broadcast(small, bytes_per_row) else small, on, how)
 
 
-def join_spread(big: DataFrame, small: DataFrame, on: list[str], by: str, bytes_per_row: int, how: str = "left") -> DataFrame:
-    """Join in which a key may have any share of ``big``; ``small`` has one row a key.
+def join_spread(
+    big: DataFrame, small: DataFrame, on: list[str], by: str, bytes_per_row: int, how: str = "left", counts: DataFrame | None = None, total: int | None = None
+) -> DataFrame:
+    """Join in which a key may have any share of ``big``; ``small`` has one row a key. ``counts`` (the key and n) and ``total`` are those of ``big``, if known.
 
     It is a broadcast where the small side is checked to be bounded. Else the
     rows of keys that fill more than half of a fair partition are dealt over
@@ -141,9 +143,10 @@ def join_spread(big: DataFrame, small: DataFrame, on: list[str], by: str, bytes_
     """
     if fits_broadcast(small, bytes_per_row):
         return big.join(F.broadcast(small), on, how)
-    fair = max(1, big.count() // (2 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("parts__")).where(F.col("parts__") > fair)
-    hot = materialize(counts.select(*on, F.ceil(F.col("parts__") / fair).cast("int").alias("parts__")), "hot-keys")
+    total = big.count() if total is None else total
+    fair = max(1, total // (2 * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
+    hot = materialize(counts.where(F.col("n") > fair).select(*on, F.ceil(F.col("n") / fair).cast("int").alias("parts__")), "hot-keys")
     parts = F.coalesce("parts__", F.lit(1))
     dealt = big.join(F.broadcast(hot), on, "left").withColumn("part__", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts__")
     copies = small.join(F.broadcast(hot), on, "left").withColumn("part__", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts__")
@@ -269,3 +272,29 @@ def grouped(batches, keys: list[str]):
         last = tuple(c[-1] for c in cols)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_groups(batches, keys: list[str], rows: int = 2048):
+    """Tables of at least about ``rows`` rows of a stream sorted by ``keys``, none of which cuts a group."""
+    import pyarrow as pa
+
+    held: list = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cols = [table.column(k).to_numpy() for k in keys]
+        last = np.ones(table.num_rows, bool)
+        for c in cols:
+            last &= c == c[-1]
+        cut = table.num_rows - int(last[::-1].argmin()) if not last.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+            held, size = table.slice(cut).to_batches(), table.num_rows - cut
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

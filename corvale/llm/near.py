@@ -10,13 +10,22 @@ posted under each coordinate-value pair; pairs of sets that agree in at least
 * of the rest a set is posted only under its rarest pairs, as many as make two
   sets with enough matches meet once (prefix filter), so frequent pairs, as of
   a common passage, are never merged;
-* a list longer than ``BLOCK`` is cut into blocks, and each pair of blocks is
-  a task's work, so no list has to fit a task;
+* lists carry signatures alone. A survey of each list marks the sets that have
+  a partner there, with enough matches and no earlier list in common; only
+  those meet again with their texts, to be confirmed;
+* a list longer than ``BLOCK`` is cut into blocks, each surveyed and confirmed
+  together with some sets that all blocks of the list share, which connects
+  most of a group of near copies. Then only sets outside a list's largest
+  component visit its other blocks, and pairs in one component are not tried,
+  so a large group costs what its rows do and no list has to fit a task;
 * a pair of sets is tried in the first list that both are in, and not at all
   where the links found there connect them already. A task gives links that
   connect its sets, at most one less than it has sets.
 
-Links become components by hooking and pointer jumping in joins.
+Links become components by hooking and pointer jumping in joins. Of sets that
+are equally popular in a list the one of lower place is tried first; of equal
+ids in a component the smallest is kept. Texts of any length are worked on
+whole, at some 60 bytes of memory for each of their own.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased. Texts
 with fewer words than a shingle have the whole sequence as one shingle; null
@@ -37,7 +46,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, grouped, materialize, mix64, shingle_hashes, small_batches, text_bytes, tidied, without_ids
+from corvale.llm.common import fits_broadcast, grouped, join_bounded, join_spread, materialize, mix64, over, shingle_hashes, small_batches, text_bytes, tidied, whole_groups, without_ids
 
 SIZE = 64
 BLOCK = 512
@@ -94,10 +103,59 @@ def _exact(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def _links(left: list[dict], right: list[dict] | None, token: int, least: int, width: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect the sets of one list (or between two blocks of it)."""
-    rows = left + (right or [])
-    parent = list(range(len(rows)))
+#: Sets of a long list that all its blocks share.
+SHARED = 16
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Whether ``token`` is the first that the rows of two arrays of prefixes (in one order, filled up with -1 and -2) have in common."""
+    equal = a[:, :, None] == b[:, None, :]
+    first = equal.any(2).argmax(1)
+    return a[np.arange(len(a)), first] == token
+
+
+def _survey(batches: Iterator[pa.RecordBatch], least: int, across: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by group (token, block) those with a partner in their group: enough matches, the token the first that both share, different components.
+
+    With ``across`` one of the two must be a visitor, the other at home.
+
+    Rows of a whole run of groups are compared at once, each with the one
+    ``shift`` places later, for all shifts up to the largest group's size.
+    """
+    for table in whole_groups(batches, ["token", "block"]):
+        n = table.num_rows
+        if n < 2:
+            continue
+        col = lambda name: table.column(name).to_numpy()
+        token, block, comp, mover = col("token"), col("block"), col("component"), col("visits")
+        sigs = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(n, SIZE)
+        raw = table.column("prefix").to_pylist()
+        width = max(map(len, raw))
+        prefix = np.array([[*p, *[-1] * (width - len(p))] for p in raw], np.int64)
+        other = np.where(prefix == -1, -2, prefix)
+        start = np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])]
+        group = np.cumsum(start)
+        largest = int(np.bincount(group).max())
+        met = np.zeros(n, bool)
+        for shift in range(1, largest):
+            pairs = (group[shift:] == group[:-shift]) & (comp[shift:] != comp[:-shift])
+            i = np.flatnonzero(pairs & (mover[shift:] != mover[:-shift]) if across else pairs)
+            for lo in range(0, len(i), 4096):
+                x = i[lo : lo + 4096]
+                x = x[(sigs[x] == sigs[x + shift]).sum(1) >= least]
+                if len(x):
+                    x = x[_first_shared(prefix[x], other[x + shift], token[x])]
+                    met[x] = met[x + shift] = True
+        if met.any():
+            kept = table.filter(pa.array(met)).select(["token", "block", "doc", "component", "visits"])
+            yield from kept.combine_chunks().to_batches()
+
+
+def _links(rows: list[dict], least: int, width: int, num: int, den: int, across: bool) -> list[tuple[int, int]]:
+    """Links that connect the sets of one group, beyond what their components connect."""
+    n, token = len(rows), rows[0]["token"]
+    place: dict[int, int] = {}
+    parent = [place.setdefault(r["component"], i) for i, r in enumerate(rows)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -106,8 +164,8 @@ def _links(left: list[dict], right: list[dict] | None, token: int, least: int, w
         return i
 
     sigs = np.frombuffer(b"".join(r["signature"] for r in rows), "<u4").reshape(-1, SIZE)
-    n, split = len(rows), len(left)
     order = [r["prefix"] for r in rows]
+    visits = np.array([r["visits"] for r in rows], bool)
     sets: dict[int, np.ndarray] = {}
 
     def shingles(i: int) -> np.ndarray:
@@ -121,68 +179,101 @@ def _links(left: list[dict], right: list[dict] | None, token: int, least: int, w
         popular += counts[inverse]
     out = []
     for i in np.argsort(-popular, kind="stable").tolist():
-        others = np.arange(n) if right is None else np.arange(split, n) if i < split else np.arange(split)
-        others = others[(popular[others] < popular[i]) | ((popular[others] == popular[i]) & (others > i))]
+        others = np.arange(n)
+        later = (popular < popular[i]) | ((popular == popular[i]) & (others > i))
+        others = others[later & (visits != visits[i]) if across else later]
         matches = (sigs[others] == sigs[i]).sum(1)
         mine = order[i]
         for j in others[matches >= least].tolist():
             if rows[i]["doc"] == rows[j]["doc"] or root(i) == root(j):
                 continue
             his = set(order[j])
-            if next(t for t in mine if t in his) == token and _exact(shingles(i), shingles(j), num, den):
+            if next((t for t in mine if t in his), None) == token and _exact(shingles(i), shingles(j), num, den):
                 parent[root(i)] = root(j)
                 out.append((rows[i]["doc"], rows[j]["doc"]))
     return out
 
 
+GROUPED = "token long, block long, doc long, component long, visits boolean"
+
+
+def _confirmed(postings: DataFrame, sets: DataFrame, texts: DataFrame, least: int, width: int, num: int, den: int, across: bool) -> DataFrame:
+    """(a, b): confirmed links among the rows (token, block, doc, component, visits, signature, prefix) of each group."""
+    keys = [F.col("token"), F.col("block")]
+
+    @tidied
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _survey(batches, least, across)
+
+    @tidied
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in grouped(batches, ["token", "block"]):
+            found = _links(own.to_pylist(), least, width, num, den, across) if own.num_rows > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    dealt = small_batches(postings, 1024).repartition(*keys).sortWithinPartitions(*keys, "doc")
+    met = materialize(dealt.mapInArrow(survey, GROUPED), "surveyed")
+    full = met.join(join_bounded(sets, met.select("doc").distinct(), "doc", "left_semi", 32), "doc").join(_texts(texts, met), "doc")
+    dealt = small_batches(full, 1024).repartition(*keys).sortWithinPartitions(*keys, "doc")
+    return materialize(dealt.mapInArrow(confirm, "a long, b long").distinct(), "links")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text): the compressed texts of the documents that ``wanted`` (doc) names."""
+    ids = wanted.select("doc").distinct()
+    own = docs.join(F.broadcast(ids) if fits_broadcast(wanted, 32) else ids, "doc", "left_semi")
+
+    @tidied
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(t, 3) for t in text_bytes(batch.column(1))], pa.binary())], ["doc", "text"])
+
+    return small_batches(own, 1024).mapInArrow(squeezed, "doc long, text binary").groupBy("doc").agg(F.first("text").alias("text"))  # rows that repeat a doc_id: one of them
+
+
 def links(docs: DataFrame, sigs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(a, b): confirmed links between the smallest doc_ids of distinct sets, enough to connect all that links connect."""
     least = least_matches(num, den)
     prefix = SIZE - least + 1
     reps = materialize(sigs.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature")).select("doc", "signature"), "sets")
     tokens = reps.mapInArrow(_tokens, "doc long, token long")
-    frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    kept = tokens.join(frequent, "token")
+    frequent = materialize(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1), "frequent")
+    kept = join_spread(tokens, frequent, ["token"], "doc", 32, "inner", counts=frequent.withColumnRenamed("df", "n"), total=SIZE * reps.count())
     # the pairs of a set that no other has come first in the common order (by frequency, then token) and use up its prefix
     per_set = kept.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).withColumn("room", F.lit(prefix - SIZE) + F.size("own")).where(F.col("room") > 0)
     chosen = materialize(per_set.select("doc", F.expr("slice(own, 1, room)").alias("own")).join(reps, "doc"), "prefixes")
+    of_set = ("doc", "signature", F.transform("own", lambda x: x["token"]).alias("prefix"))
+    sets = chosen.select(*of_set)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where(F.col("doc").isNotNull())
-    ids = chosen.select("doc")
-    texts = texts.join(F.broadcast(ids) if fits_broadcast(ids, 32) else ids, "doc", "left_semi")
-
-    @tidied
-    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zstandard.compress(t, 3) for t in text_bytes(batch.column(1))], pa.binary())], ["doc", "text"])
-
-    one = texts.mapInArrow(squeezed, "doc long, text binary").groupBy("doc").agg(F.first("text").alias("text"))  # rows that repeat a doc_id: one of them
-    sets = chosen.join(one, "doc")
-    postings = sets.select("doc", "signature", "text", F.transform("own", lambda x: x["token"]).alias("prefix"), F.explode("own").alias("at")).select("doc", "signature", "text", "prefix", "at.*")
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = (
-        postings.withColumn("blocks", blocks).withColumn("own_block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc", "signature", "text", "prefix", "token", F.least("own_block", "other").alias("x"), F.greatest("own_block", "other").alias("y"), "own_block")
-    )
-
-    @tidied
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in grouped(batches, ["token", "x", "y"]):
-            if own.num_rows < 2:
-                continue
-            table = own.to_pylist()
-            first = table[0]
-            if first["x"] == first["y"]:
-                found = _links(table, None, first["token"], least, width, num, den)
-            else:
-                left = [r for r in table if r["own_block"] == first["x"]]
-                right = [r for r in table if r["own_block"] == first["y"]]
-                found = _links(left, right, first["token"], least, width, num, den) if left and right else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
-
-    keys = [F.col(c) for c in ("token", "x", "y")]
-    return small_batches(dealt, 1024).repartition(*keys).sortWithinPartitions(*keys, "doc").mapInArrow(rows, "a long, b long").distinct()
+    listed = chosen.select(*of_set, F.explode("own").alias("at")).select("doc", "signature", "prefix", "at.token", F.ceil(F.col("at.df") / BLOCK).cast("long").alias("blocks"))
+    listed = listed.withColumn("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+    # in a long list the sets of least hash are in all blocks
+    place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc", F.lit(1)), "doc"))
+    long = listed.where("blocks > 1").select("token", "doc", "blocks", "home")
+    shared = materialize(long.withColumn("r", place).where(F.col("r") <= SHARED).drop("r"), "shared")
+    away = shared.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> home").join(sets, "doc")
+    cols = ("token", "block", "doc", "component", "visits", "signature", "prefix")
+    plain = {"component": F.col("doc"), "visits": F.lit(False)}
+    first = listed.withColumn("block", F.col("home")).withColumns(plain).select(*cols).unionByName(away.withColumns(plain).select(*cols))
+    found = _confirmed(first, sets, texts, least, width, num, den, across=False)
+    if not shared.limit(1).count():
+        return found
+    # what long lists still have to try: pairs in different blocks and components
+    known = materialize(components(found), "known")
+    joined = join_bounded(long, known, "doc", "left", 32).withColumn("component", F.coalesce("component", "doc"))
+    sizes = joined.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("several"), (F.sum("n") - F.max("n")).alias("movers"))
+    main = materialize(sizes.where("several > 1").select("token", "main", F.ceil(F.col("movers") / BLOCK).cast("long").alias("parts")), "main")
+    left = join_spread(joined, main, ["token"], "doc", 32, "inner")
+    part = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("at")
+    visit = left.where(F.col("component") != F.col("main")).select("token", "doc", "component", "parts", "home", other).where("at <> home")
+    visit = visit.select("token", (F.col("at") * F.col("parts") + part).alias("block"), "doc", "component", F.lit(True).alias("visits"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    stay = left.select("token", "doc", "component", "parts", "home", each).select("token", (F.col("home") * F.col("parts") + F.col("part")).alias("block"), "doc", "component", F.lit(False).alias("visits"))
+    again = stay.unionByName(visit).join(sets, "doc").select(*cols)
+    return found.union(_confirmed(again, sets, texts, least, width, num, den, across=True))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,19 +284,22 @@ def components(edges: DataFrame) -> DataFrame:
     paths; edges whose ends agree are done. Labels met are chained at the end.
     """
     edges = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
+    mark = None
     while True:
-        # large star: neighbours above an id go to its least neighbour; small star: those below too
+        # a round that changes nothing leaves equal numbers, sums and sums of hashes behind
+        seen = tuple(edges.agg(F.count(F.lit(1)), F.sum("a"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if seen == mark:
+            return edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("doc"), "component")
+        mark = seen
+        # large star: neighbours above an id go to its least neighbour; small star: those below too. An id may have any number of them
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b")
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = join_spread(both, low, ["u"], "v", 32, "inner").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+        large = materialize(large, "large-star")
+        least = materialize(large.groupBy("b").agg(F.min("a").alias("m")), "least")
+        small = join_spread(large, least, ["b"], "a", 32, "inner")
         small = small.select(F.col("m").alias("a"), F.col("b")).union(small.where("a <> m").select(F.col("m"), F.col("a"))).toDF("a", "b").where("a <> b").distinct()
-        new = materialize(small, "links")
-        same = new.count() == edges.count() and not new.exceptAll(edges).limit(1).count()
-        edges = new
-        if same:
-            return edges.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("doc"), "component")
+        edges = materialize(small, "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -213,10 +307,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     sigs = signed(docs, width)
     found = components(links(docs, sigs, width, num, den))
     least = sigs.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc"))
-    of_key = least.join(found, "doc", "left").select("key", F.coalesce("component", "doc").alias("of_set"))
-    met = sigs.select("doc_id", "n_shingles", "key").join(of_key, "key", "left")
+    of_key = materialize(least.join(found, "doc", "left").select("key", F.coalesce("component", "doc").alias("of_set")), "components")
+    met = join_spread(sigs.select("doc_id", "n_shingles", "key"), of_key, ["key"], "doc_id", 64)
     component = F.coalesce("of_set", "doc_id")
-    return met.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return over(met.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")), docs.sparkSession)
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -303,5 +303,46 @@ def test_matching_is_the_largest():
             assert p < 0 or a.labels[e] == b.labels[p] and (e == 0 or partner[a.parents[e]] == b.parents[p])
 
 
+# --- near duplicates ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_a_large_group_of_near_copies(spark, monkeypatch, broadcast):
+    """Far more near copies than a block holds, in two groups with a common passage, beside others: the classes are those of all pairs."""
+    import random
+
+    from test_dedup import near_brute
+
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "SHARED", 3)
+    if not broadcast:
+        monkeypatch.setattr("corvale.llm.common.fits_broadcast", lambda *a: False)
+    r = random.Random(9)
+    base = [f"w{r.randrange(2000)}" for _ in range(120)]
+    cousin = [*base[:100], *(f"v{i}" for i in range(20))]
+    rows = []
+    for k in range(150):
+        w = list(base if k % 3 else cousin)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        rows.append((1000 - k, " ".join(w)))
+    rows += [(2000 + k, " ".join(base[:60] + [f"z{r.randrange(10**6)}" for _ in range(40)])) for k in range(20)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == near_brute(rows, 3, 85, 100)
+
+
+def test_whole_groups():
+    import pyarrow as pa
+
+    from corvale.llm.common import whole_groups
+
+    keys = [0] * 5 + [1] * 9 + [2] + [3] * 30 + [4] * 2
+    for size in (1, 3, 50):
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(range(i, min(i + size, len(keys))))], ["k", "v"]) for i in range(0, len(keys), size)]
+        tables = list(whole_groups(iter(batches), ["k"], 7))
+        assert [v for t in tables for v in t.column("v").to_pylist()] == list(range(len(keys)))
+        assert sum(len(set(t.column("k").to_pylist())) for t in tables) == 5
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11)) and wrapper.extract
