@@ -140,8 +140,13 @@ def send(chunks: DataFrame, say: Callable[[list[int | None], list[bytes]], Itera
 
 
 def meet(sent: DataFrame, buckets: int) -> DataFrame:
-    """Deal messages to their buckets, in order of the chunks."""
-    return sent.repartition(max(1, buckets), "bucket").sortWithinPartitions("bucket", "chunk")
+    """Deal messages to their buckets, in order of the chunks.
+
+    A partition may hold several buckets, one after the other, so the number of
+    partitions is bounded by the cluster's setting, whatever that of buckets.
+    """
+    most = 4 * int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(max(1, min(buckets, most)), "bucket").sortWithinPartitions("bucket", "chunk")
 
 
 def answer(sent: DataFrame, buckets: int, reply: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:

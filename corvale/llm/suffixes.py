@@ -243,46 +243,79 @@ def _routes(c: _Chunk, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _repeats(rows: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, bytes]]:
-    """For the runs of one bucket: to each chunk the strings (document, start, end) of its bytes that go."""
+    """For the runs of one bucket: to each chunk, for stretches of starts in its runs, the least doc_id that has the strings there.
+
+    A chunk sends each of its runs once, with the least and the greatest of its
+    doc_ids that have it, so a passage costs a bucket one entry for each chunk
+    it lies in; which of its documents lose bytes is the chunk's own business.
+    """
     index: dict[bytes, int] = {}
-    occ = []
-    for number, (_, message) in enumerate(rows):
-        sizes, text, run, doc, at, docs, ids = expand(message)
+    runs, lows, highs = [], [], []
+    for _, message in rows:
+        sizes, text, low, high = expand(message)
         raw, ends = text.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
-        own = np.array([index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
-        occ.append((np.full(len(run), number), own[run], doc.astype(np.int64), at.astype(np.int64), ids[np.searchsorted(docs, doc)]))
-    number, run, doc, at, ids = (np.concatenate(c) for c in zip(*occ, strict=True))
+        runs.append(np.array([index.setdefault(raw[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64))
+        lows.append(low)
+        highs.append(high)
     least = np.full(len(index), np.iinfo(np.int64).max)
-    np.minimum.at(least, run, ids)
+    for own, low in zip(runs, lows, strict=True):
+        np.minimum.at(least, own, low)
     classes, counts = equal_prefixes(list(index), length)
     first = np.cumsum(counts) - counts
     lowest = np.full(int(classes.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(lowest, classes, np.repeat(least, counts))
     here = lowest[classes]
-    n = counts[run]  # starts of each occurrence
-    upto = np.cumsum(n)
-    inner = np.arange(upto[-1]) - np.repeat(upto - n, n)
-    goes = here[np.repeat(first[run], n) + inner] < np.repeat(ids, n)
-    hit = np.flatnonzero(goes)
-    if not len(hit):
-        return
-    who = np.repeat(np.arange(len(run)), n)[hit]
-    new = np.concatenate([[True], (np.diff(hit) > 1) | (who[1:] != who[:-1])])
-    heads = np.flatnonzero(new)
-    tails = np.r_[heads[1:] - 1, len(hit) - 1]
-    o = who[heads]
-    start, end = at[o] + inner[hit[heads]], at[o] + inner[hit[tails]] + length
-    for k in np.unique(number[o]).tolist():
-        own = number[o] == k
-        yield rows[k][0], squeeze(doc[o][own].astype("<u4"), start[own].astype("<u8"), end[own].astype("<u8"))
-
-
-def _spans(answers: list[dict] | None, n_docs: int) -> list[list[tuple[int, int]]]:
+    del classes, lowest
+    for (chunk, _), own, high in zip(rows, runs, highs, strict=True):
+        n = counts[own]
+        upto = np.cumsum(n)
+        inner = np.arange(upto[-1]) - np.repeat(upto - n, n)
+        own_least = here[np.repeat(first[own], n) + inner]
+        hit = np.flatnonzero(own_least < np.repeat(high, n))
+        if not len(hit):
+            continue
+        run, at, low = np.repeat(np.arange(len(own)), n)[hit], inner[hit], own_least[hit]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(run) > 0) | (np.diff(low) != 0)]))
+        tails = np.r_[heads[1:] - 1, len(hit) - 1]
+        yield chunk, squeeze(run[heads].astype("<u4"), at[heads].astype("<u4"), at[tails].astype("<u4"), low[heads].astype("<i8"))
+
+
+def _own_places(chunk: int, places: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, int, bytes]:
+    """A chunk's message to itself: where its runs lie, by bucket. It travels under a number of its own, so it meets no other."""
+    deltas = [np.diff(start, prepend=0) for _, _, start in places]
+    parts = np.array([p for p, _, _ in places], "<u4")
+    return chunk, -1 - chunk, squeeze(parts, np.array([len(d) for d in deltas], "<u4"), np.concatenate([r for _, r, _ in places]).astype("<u4"), np.concatenate(deltas).astype("<i4"))
+
+
+def _spans(answers: list[dict] | None, ids: list[int | None], texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
     """For each document of a chunk its maximal removed spans."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n_docs)]
-    if not answers:
+    out: list[list[tuple[int, int]]] = [[] for _ in ids]
+    got = {a["bucket"]: a["message"] for a in answers or []}
+    mine = [m for b, m in got.items() if b < 0]
+    if len(got) < 2 or not mine:
+        return out
+    sizes = np.array([len(t) for t in texts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    numbers = np.array([0 if i is None else i for i in ids], np.int64)
+    parts, n_places, runs, deltas = expand(mine[0])
+    found, at = [], 0
+    for part, n in zip(parts.tolist(), n_places.tolist(), strict=True):
+        if part in got:
+            run, start = runs[at : at + n].astype(np.int64), np.cumsum(deltas[at : at + n].astype(np.int64))
+            doc = np.searchsorted(first, start, "right") - 1
+            of, low, high, least = (x.astype(np.int64) for x in expand(got[part]))
+            a, b = np.searchsorted(of, run, "left"), np.searchsorted(of, run, "right")
+            k = b - a
+            o = np.repeat(np.arange(n), k)
+            s = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            goes = least[s] < numbers[doc[o]]
+            o, s = o[goes], s[goes]
+            begin = start[o] - first[doc[o]]
+            found.append((doc[o], begin + low[s], begin + high[s] + length))
+        at += n
+    if not found:
         return out
-    doc, start, end = (np.concatenate(c).astype(np.int64) for c in zip(*(expand(a["message"]) for a in answers), strict=True))
+    doc, start, end = (np.concatenate(c) for c in zip(*found, strict=True))
     order = np.lexsort((start, doc))
     for d, a, b in zip(doc[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
         own = out[d]
@@ -337,24 +370,27 @@ def removed(docs: DataFrame, length: int = 50, carry: bool = False) -> DataFrame
                 low, doc, start, n = _routes(c, c.left(repeated))
                 if not len(low):
                     continue
+                numbers = np.array([0 if i is None else i for i in ids], np.int64)
                 part = (low >> np.uint64(8)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 edges = np.flatnonzero(np.diff(np.r_[-1, part[order].astype(np.int64), -1]))
-                rows = []
+                rows, places = [], []
                 for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     own = order[x:y]
                     index: dict[bytes, int] = {}
-                    run = [index.setdefault(c.data[a : a + k + length - 1], len(index)) for a, k in zip(start[own].tolist(), n[own].tolist(), strict=True)]
-                    present = np.unique(doc[own])
-                    message = squeeze(
-                        np.array([len(r) for r in index], "<u4"), np.frombuffer(b"".join(index), np.uint8), np.array(run, "<u4"), doc[own].astype("<u4"),
-                        (start[own] - c.first[doc[own]]).astype("<u8"), present.astype("<u4"), np.array([ids[d] for d in present.tolist()], "<i8"),
-                    )
-                    rows.append((chunk, int(part[own[0]]), message))
+                    run = np.array([index.setdefault(c.data[a : a + k + length - 1], len(index)) for a, k in zip(start[own].tolist(), n[own].tolist(), strict=True)], np.int64)
+                    who = numbers[doc[own]]
+                    least, most = np.full(len(index), np.iinfo(np.int64).max), np.full(len(index), np.iinfo(np.int64).min)
+                    np.minimum.at(least, run, who)
+                    np.maximum.at(most, run, who)
+                    number = int(part[own[0]])
+                    rows.append((chunk, number, squeeze(np.array([len(r) for r in index], "<u4"), np.frombuffer(b"".join(index), np.uint8), least.astype("<i8"), most.astype("<i8"))))
+                    places.append((number, run, start[own]))
+                rows.append(_own_places(chunk, places))
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chunk", "bucket", "message"])
 
     routed = receive(chunks.select("chunk", "blob", "n_bytes"), answer(send(chunks, say), buckets, named)).mapInArrow(route, MESSAGE)
-    return receive(chunks, answer(routed, parts, lambda _, rows: _repeats(rows, length)))
+    return receive(chunks, answer(routed, parts, lambda bucket, rows: iter(rows) if bucket < 0 else _repeats(rows, length)))
 
 
 def _kept(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -373,7 +409,7 @@ def digests(docs: DataFrame, length: int = 50) -> DataFrame:
         for batch in batches:
             for blob, answers in zip(batch.column("blob").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 ids, texts = texts_of(blob)
-                spans = _spans(answers, len(ids))
+                spans = _spans(answers, ids, texts, length)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
@@ -400,7 +436,7 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
             for blob, raw, answers in zip(*(batch.column(c).to_pylist() for c in ("blob", "rest", "answers")), strict=True):
                 ids, texts = texts_of(blob)
                 rest = rest_of(raw)
-                spans = _spans(answers, len(ids))
+                spans = _spans(answers, ids, texts, length)
                 kept = [None if null else _kept(t, s).decode(errors="ignore") for t, s, null in zip(texts, spans, rest.column(0).to_pylist(), strict=True)]
                 cols = dict(zip(others, rest.columns[1:], strict=True)) | {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(kept, pa.string())}
                 if "n_chars" in cols:

@@ -303,6 +303,29 @@ def test_matching_is_the_largest():
             assert p < 0 or a.labels[e] == b.labels[p] and (e == 0 or partner[a.parents[e]] == b.parents[p])
 
 
+# --- repeated passages -------------------------------------------------------------
+
+
+def test_a_passage_in_half_of_all_documents(spark, monkeypatch):
+    """One licence text in every second document, over many chunks, with own text around it or not."""
+    import random
+
+    from corvale.llm import exchange
+    from test_dedup import brute
+
+    r = random.Random(3)
+    licence = "This text is free to use, to copy and to change, by anybody and at any place, without any warranty at all. " * 2
+    rows = []
+    for i in r.sample(range(3000), 300):
+        own = " ".join(f"{r.randrange(10**6)}" for _ in range(r.randint(0, 30)))
+        cut = r.randint(0, len(own))
+        rows.append((i, own[:cut] + licence[r.choice([0, 0, 7]) :] + own[cut:] if len(rows) % 2 else own))
+    rows += [(rows[1][0], rows[1][1]), (None, licence)]
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 1 << 12)
+    got = suffixes.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows)
+
+
 # --- near duplicates ---------------------------------------------------------------
 
 
