@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from corvale import store_queries  # noqa: F401 - it adds its queries to the others
 from corvale.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
