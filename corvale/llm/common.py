@@ -208,21 +208,42 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of text that are hashed at once; hashing takes some 60 bytes of memory for each.
+SEGMENT = 2 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the number of words of each text."""
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and the number of words of each text.
+
+    Long texts are hashed in segments that end at white space, so the memory
+    needed beside the hashes is bounded but for words longer than a segment.
+    """
     joined = b" ".join([*texts, b""])
-    if not joined.strip():
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    raw = _LOWER[np.frombuffer(joined, np.uint8)]
+    hashes, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(joined):
+        stop = _BLANK.search(joined, at + SEGMENT)
+        end = stop.end() if stop else len(joined)
+        h, start = _segment_hashes(joined[at:end])
+        hashes.append(h)
+        places.append(start + at)
+        at = end
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    upto = np.searchsorted(np.concatenate(places), ends)
+    return np.concatenate(hashes), np.diff(np.r_[0, upto])
+
+
+def _segment_hashes(part: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of ``part``."""
+    raw = _LOWER[np.frombuffer(part, np.uint8)]
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))
     start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), start
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(_R, len(raw)), out=sums[1:])
-    h = mix64((sums[end] - sums[start]) * _powers(_RINV, len(raw))[start])
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(start, ends)
-    return h, np.diff(np.r_[0, upto])
+    return mix64((sums[end] - sums[start]) * _powers(_RINV, len(raw))[start]), start
 
 
 def shingle_hashes(texts: list[bytes], width: int) -> list[np.ndarray]:

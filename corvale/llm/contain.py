@@ -22,7 +22,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvale.llm.common import fits_broadcast, materialize, without_ids
+from corvale.llm.common import fits_broadcast, join_spread, materialize, without_ids
 
 #: Partition by number of shingles: below this bound -> (signature size, matches asked for). At a
 #: containment of 0.8 the chance to have fewer matches is below 3e-5 in each.
@@ -72,8 +72,12 @@ def candidates(docs: DataFrame, items: DataFrame, width: int, num: int, den: int
     hashed = with_words(docs, "doc_id").select("doc_id", hashes(F.col("w"), width).alias("own"))
     # explode_outer: for explode the optimizer would add a filter that splits the text once more for each shingle
     posted = hashed.select("doc_id", F.size("own").alias("n_doc"), "own").select("doc_id", "n_doc", F.explode_outer("own").alias("h"))
-    side = F.broadcast(signed) if fits_broadcast(signed, 64) else signed
-    met = posted.join(side, "h").where(F.col("n_doc") * den >= F.col("partition_low") * num)
+    if fits_broadcast(signed, 64):
+        met = posted.join(F.broadcast(signed), "h")
+    else:  # very many items: a shingle of any share of all postings is dealt over parts
+        side = materialize(signed.where("h IS NOT NULL").groupBy("h").agg(F.collect_list(F.struct("item_id", "partition_low", "asked")).alias("items")), "posted-items")
+        met = join_spread(posted.where("h IS NOT NULL"), side, ["h"], "doc_id", 128, "inner").select("doc_id", "n_doc", "h", F.explode("items").alias("i")).select("doc_id", "n_doc", "h", "i.*")
+    met = met.where(F.col("n_doc") * den >= F.col("partition_low") * num)
     hits = met.groupBy("doc_id", "item_id").agg(F.count_distinct("h").alias("matches"), F.max("asked").alias("asked"))
     return materialize(hits.where("matches >= asked").select("doc_id", "item_id"), "candidates")
 

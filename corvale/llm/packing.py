@@ -7,7 +7,9 @@ its partition's offset plus its own, and no row is moved. The stream is cut
 every ``window`` ids: a row that lies across a cut gives several pieces.
 
 Null texts are empty and give the end id alone. Repeated rows are packed once
-each. An empty table gives no rows. Other columns of the input are ignored.
+each. An empty table gives no rows. Other columns of the input are ignored. A
+text of any length is encoded in one go, with those that share its batch of at
+most 8 MB or of itself alone.
 """
 
 from __future__ import annotations

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvale.llm.common import checkpoint_dir, materialize, ship
+from corvale.llm.common import checkpoint_dir, join_spread, materialize, ship
 from corvale.llm.packing import id_batches, id_texts, with_starts
 
 #: A cut follows an id where the hash of the last WINDOW ids is below 1 / MEAN of its range; chunks have LEAST to MOST ids.
@@ -222,12 +222,14 @@ def read_digests(spark: SparkSession, path: str, size: int) -> DataFrame:
     """Per document from the files alone: doc_id, start, n_tokens, ids_crc32.
 
     Chunks are read, checked and reduced to CRCs where they lie; only those
-    travel to the recipes. CRC shares of a document's chunks combine by xor.
+    travel to the recipes; those that very many documents share are dealt over
+    parts. CRC shares of a document's chunks combine by xor.
     """
     ship(spark)
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").mapInArrow(lambda b: _read_chunks(b, size), "digest binary, n_ids long, crc long")
+    chunks = materialize(chunks, "crcs")
     rows = verified_recipes(spark, path).select("doc_id", "n_tokens", "digests", "lengths", "start").mapInArrow(_explode, "doc_id long, start long, digest binary, length long, tail long")
-    met = rows.join(chunks, "digest", "left").select("doc_id", "start", F.expr("if(n_ids = length, crc, raise_error('a recipe names a chunk that is not there'))").cast("long").alias("crc"), "tail", "length")
+    met = join_spread(rows, chunks, ["digest"], "start", 96).select("doc_id", "start", F.expr("if(n_ids = length, crc, raise_error('a recipe names a chunk that is not there'))").cast("long").alias("crc"), "tail", "length")
     return met.mapInArrow(_share, "doc_id long, start long, share long, length long").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.sum("length").alias("n_tokens"), F.bit_xor("share").alias("ids_crc32")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

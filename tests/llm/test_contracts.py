@@ -367,5 +367,47 @@ def test_whole_groups():
         assert sum(len(set(t.column("k").to_pylist())) for t in tables) == 5
 
 
+def test_words_of_long_texts(monkeypatch):
+    """Hashes don't depend on where segments end; words may be longer than one."""
+    import random
+
+    from corvale.llm import common
+
+    r = random.Random(1)
+    texts = ["".join(r.choice(["ab", "C", " ", "\t", "é", "x" * 30]) for _ in range(r.randint(0, 200))).encode() for _ in range(40)] + [b"", b"  ", b"y" * 500, b"one"]
+    want, counts = common.word_hashes(texts)
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    words = [w.lower() for t in texts for w in t.split()]
+    seen = {}
+    assert all(seen.setdefault(w, h) == h for w, h in zip(words, want.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    for segment in (1, 7, 100):
+        monkeypatch.setattr(common, "SEGMENT", segment)
+        got, again = common.word_hashes(texts)
+        assert got.tolist() == want.tolist() and again.tolist() == counts.tolist()
+
+
+def test_very_long_texts(spark):
+    """A text of 8 MB goes through each operator whole."""
+    big = " ".join(f"w{i * 7919 % 100_003}" for i in range(1_100_000))
+    df = spark.createDataFrame([(1, big, "en"), (2, big + " end", "en"), (3, "short", "en")], "doc_id long, text string, lang string")
+    near_rows = {r["doc_id"]: r for r in near.near_duplicates(df, 3, 85, 100).collect()}
+    assert near_rows[2]["component_id"] == 1 and near_rows[3]["kept"]
+    gone = {r["doc_id"]: r for r in suffixes.digests(df).collect()}
+    assert gone[2]["n_removed"] >= len(big) - 50 and gone[1]["n_bytes"] == len(big)
+    pieces = packing.pack(df, tokenizer_file()).groupBy("doc_id").sum("length").collect()
+    kept = {r["doc_id"]: r["n_tokens"] for r in store.store_round_trip(df, tokenizer_file()).collect()}
+    assert {r["doc_id"]: r[1] for r in pieces} == kept and kept[1] > 1_000_000
+    assert {r["doc_id"]: r["n_bytes"] for r in audio.describe(audio.store(df.where("doc_id <> 1")), coded=True).collect()} == {2: len(big) + 4, 3: 5}
+
+
+def test_many_items_without_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"one two three four five six {i} and more words to go on") for i in range(40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "nine ten eleven twelve thirteen"), (3, None)], "item_id long, text string")
+    want = sorted(map(tuple, contain.contained(docs, items).collect()))
+    monkeypatch.setattr(contain, "fits_broadcast", lambda *a: False)
+    monkeypatch.setattr("corvale.llm.common.fits_broadcast", lambda *a: False)
+    assert sorted(map(tuple, contain.contained(docs, items).collect())) == want and len(want) == 40
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11)) and wrapper.extract

@@ -59,3 +59,23 @@ def test_contained_sql(spark, sf_dir):
     want = c.execute(oracle_sql()["op3_benchmark_containment"]).fetchall()
     got = queries()["op3_benchmark_containment"](spark, sf_dir).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_stages_with_odd_rows(spark, sf_dir, tmp_path):
+    """Null texts, repeated and null ids, an own column of a clashing name; and an empty table."""
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(6)
+    rows = [(i, text(r, lang, 60), lang) for i in range(40) for lang in ("en", "de")] + [(1, None, "en"), (None, text(r, "en", 40), None), (5, text(r, "de", 30), "de"), (5, text(r, "de", 30), "de"), (7, "", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x", "y") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_id string, part string")
+    for n, table in (("some", docs), ("none", docs.limit(0))):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, kept, sf_dir)
+            assert out.columns == docs.columns, name
+            out.write.parquet(f"{tmp_path}/{n}-{name}")
+            kept = spark.read.parquet(f"{tmp_path}/{n}-{name}")
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+        assert (packed.count() > 50) == (n == "some")
