@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvale.llm import contain, langid, near, packing, suffixes
-from corvale.llm.common import materialize
+from corvale.llm.common import clean_up, materialize, written_paths
 from corvale.llm.registry import tokenizer_file
 
 #: No SQL can train a recurrent network; tests compare the stages with brute force.
@@ -19,7 +19,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language is told apart; the others (no letters, too little to tell) go. With no label to learn from, all that have a letter stay."""
+    """Keep the documents whose language is told apart; the others (no letters, too little to tell) go.
+
+    With no label to learn from, all that have a letter stay.
+    """
     return langid.keep_identified(docs, least=0.4)
 
 
@@ -53,7 +56,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage wrote for itself is deleted when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(written_paths(spark))
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        clean_up(spark, since, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
