@@ -250,7 +250,7 @@ def links(docs: DataFrame, sigs: DataFrame, width: int, num: int, den: int) -> D
     listed = listed.withColumn("home", F.pmod(F.xxhash64("doc"), F.col("blocks")))
     # in a long list the sets of least hash are in all blocks
     place = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc", F.lit(1)), "doc"))
-    long = listed.where("blocks > 1").select("token", "doc", "blocks", "home")
+    long = materialize(listed.where("blocks > 1").select("token", "doc", "blocks", "home"), "long-lists")
     shared = materialize(long.withColumn("r", place).where(F.col("r") <= SHARED).drop("r"), "shared")
     away = shared.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("block <> home").join(sets, "doc")
     cols = ("token", "block", "doc", "component", "visits", "signature", "prefix")
