@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Long texts make a batch of the default 10,000 rows too large for a worker.
 BATCH_ROWS = 512
-#: A side may be broadcast when its rows, at the stated bytes each, stay below this.
-BROADCAST_BYTES = 48 << 20
+#: A side may be broadcast when its rows, at the stated bytes each, stay below this; as a hash table it takes about three times that in each executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
