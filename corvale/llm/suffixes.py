@@ -120,22 +120,29 @@ def suffix_array(s: np.ndarray, limit: int) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    t = np.concatenate([s.astype(np.int64), np.zeros(3, np.int64)])
+    small = np.int32 if max(n + 3, limit) < 1 << 31 else np.int64
+    t = np.concatenate([s.astype(small, copy=False), np.zeros(3, small)])
     extra = 1 if n % 3 == 1 else 0  # so that the names of positions 1 modulo 3 end with one for the empty suffix
-    one, two = np.arange(1, n + extra, 3), np.arange(2, n, 3)
-    sampled = np.concatenate([one, two])
+    sampled = np.concatenate([np.arange(1, n + extra, 3, dtype=small), np.arange(2, n, 3, dtype=small)])
     (key,) = _joint([[t[sampled]], [t[sampled + 1]], [t[sampled + 2]]], [limit] * 3)
-    order = np.argsort(key)
-    names = np.empty(len(order), np.int64)
-    ranked = key[order]
-    names[order] = np.cumsum(np.concatenate([[1], ranked[1:] != ranked[:-1]]))
-    if names[order[-1]] < len(order):
-        order = suffix_array(names, int(names.max()) + 1)
-    ranks = np.zeros(n + 3, np.int64)
-    ranks[sampled[order]] = np.arange(1, len(order) + 1)
+    order = np.argsort(key).astype(small, copy=False)
+    key = key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    del key
+    names = np.empty(len(order), small)
+    names[order] = np.cumsum(new, dtype=small)
+    del new
+    most = int(names[order[-1]])
+    if most < len(order):
+        del order
+        order = suffix_array(names, most + 1)
+    del names
+    ranks = np.zeros(n + 3, small)
+    ranks[sampled[order]] = np.arange(1, len(order) + 1, dtype=small)
     top = len(order) + 1
-    rest = np.arange(0, n, 3)
+    rest = np.arange(0, n, 3, dtype=small)
     in_order = sampled[order]
+    del order, sampled
     in_order = in_order[in_order < n]
     is_one = in_order % 3 == 1
     ones, twos = in_order[is_one], in_order[~is_one]
@@ -144,7 +151,8 @@ def suffix_array(s: np.ndarray, limit: int) -> np.ndarray:
     rest, rest_key = rest[by], rest_key[by]
     rest_two, twos_key = _joint([[t[rest], t[twos]], [t[rest + 1], t[twos + 1]], [ranks[rest + 2], ranks[twos + 2]]], [limit, limit, top])
     place = np.arange(len(rest)) + np.searchsorted(ones_key, rest_key) + np.searchsorted(twos_key, rest_two)
-    out = np.empty(n, np.int64)
+    del rest_key, ones_key, rest_two, twos_key
+    out = np.empty(n, small)
     others = np.ones(n, bool)
     others[place] = False
     out[place] = rest
@@ -160,17 +168,19 @@ def equal_prefixes(runs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
     counts = sizes - length + 1
     first = np.cumsum(sizes + 1) - sizes - 1
     starts = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    number = np.full(len(text), -1, np.int64)
-    number[starts] = np.arange(len(starts))
-    order = suffix_array(text.astype(np.int64) + 1, 257)
+    small = np.int32 if len(text) < 1 << 31 else np.int64
+    number = np.full(len(text), -1, small)
+    number[starts] = np.arange(len(starts), dtype=small)
+    del starts
+    order = suffix_array(text.astype(np.int16) + np.int16(1), 257)
     order = order[number[order] >= 0]
     differs = np.zeros(len(order), bool)
     differs[0] = True
     for o in _offsets(length):
         w = _words(joined, len(joined) - 8, 0)[order + o]
         differs[1:] |= w[1:] != w[:-1]
-    classes = np.empty(len(order), np.int64)
-    classes[number[order]] = np.cumsum(differs) - 1
+    classes = np.empty(len(order), small)
+    classes[number[order]] = np.cumsum(differs, dtype=small) - small(1)
     return classes, counts
 
 
